@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, ef_tokens, hilbert, kk_packing, pfair, reply_trees, secret_scan
+from . import decision_list, ef_tokens, hilbert, html_blocks, image_match, kk_packing, ngram_join, pfair, reply_trees, secret_scan
 from .common import read_table
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -26,6 +26,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kk_packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ef_tokens.token_output(read_table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard(read_table(spark, sf_dir, "documents"))
 
 
+def op7_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return image_match.copies(read_table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -47,9 +55,13 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_trees.chat(turns.unionByName(probe))
 
 
+def op10_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixing, op2_secrets, op3_packing, op5_tokens, op6_sharding, op8_quality, op9_chat)
+    for f in (op1_mixing, op2_secrets, op3_packing, op4_html, op5_tokens, op6_sharding, op7_images, op8_quality, op9_chat, op10_ngrams)
 }
 
 ORACLE_SQL: dict[str, str] = {}
