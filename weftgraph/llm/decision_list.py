@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -231,8 +232,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
               label_col: str = "quality", max_labels: int = MAX_LABELS) -> DataFrame:
     """The rows of ``docs``, all columns, that :func:`judge` keeps. The sample is
     counted first; then one pass counts and filters, with no join."""
-    import pandas as pd
-
     sample = sample_ids(labels, id_col, label_col, max_labels)
     counted = stats(docs.join(F.broadcast(sample.select(id_col)), id_col, "left_semi"), id_col, text_col)
     rules = train(counted, sample, id_col)

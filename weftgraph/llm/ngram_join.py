@@ -32,6 +32,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -382,8 +383,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     out = docs.join(whole, same, "left_semi").select(*names)
     if split.isEmpty():
         return out
-    import pandas as pd
-
     @F.pandas_udf("d1 long, d2 long")
     def mark(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(_raw(t), words) for t in texts]

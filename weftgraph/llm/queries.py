@@ -64,4 +64,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_mixing, op2_secrets, op3_packing, op4_html, op5_tokens, op6_sharding, op7_images, op8_quality, op9_chat, op10_ngrams)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# Fixed lengths of the chat template's three marks, and what escaping adds to a text.
+_ESCAPED = r"""length(t) + length(t) - length(replace(t, '\', '')) + len(regexp_extract_all(t, '[<\[](\||/?s>|</?SYS>>|/?INST\]|/?TOOL_CALLS\]|/?(bos|eos|start_of_turn|end_of_turn)>)'))"""
+_PARTS = "string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_chat": f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{PROBE}'),
+e AS (SELECT conv_id, turn, role, text, 32 + {_ESCAPED.replace("(t", "(text")} + {_ESCAPED.replace("(t", "(role")} AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id""",
+    "op10_ngrams": f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter({_PARTS}, lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS at FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.at)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(at) AS component_id FROM r GROUP BY id) m ON m.id = d.doc_id""",
+}

@@ -17,6 +17,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,8 +138,6 @@ def redact(
     ``mask``; ``length_col`` is set to the new length where the text changed.
     Null text stays null."""
     path = ranks_file or tokenizer_file("byte_bpe_50k.tiktoken")
-    import pandas as pd
-
     @F.pandas_udf("string")
     def masked(texts: pd.Series) -> pd.Series:
         enc = _encoding(path)
