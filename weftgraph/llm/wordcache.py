@@ -1,17 +1,17 @@
-"""Fast exact encoding with the tokenizers library through bounded caches.
+"""Fast exact encoding with the tokenizers library through a bounded cache.
 
-Both supported pre-tokenizers cut a text into pieces that are encoded one by
-one, so ids of a piece never depend on its neighbours. A text of plain Latin
-characters is split at spaces; each chunk's ids come from a chunk cache, whose
-misses are cut into pieces, whose misses go to the library in one call. Any
-other text (other scripts, control characters, runs of spaces, special-token
-strings) is given to the library whole.
+Both supported pre-tokenizers cut a text into pieces that the model encodes one
+by one, so ids of a piece never depend on its neighbours. A text of plain Latin
+characters is cut here; each piece's ids come from a cache, whose misses go to
+the library's model. Any other text (other scripts, control characters,
+special-token strings) is given to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
@@ -21,8 +21,12 @@ CUT = {
     "byte": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\s{LETTER}0-9]+|\s+(?!\S)|\s+"),
     "word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^\s{LETTER}0-9]+"),
 }
-#: Entries that a cache holds before it starts anew; bounds a worker's memory.
-CACHE_ENTRIES = 400_000
+#: Entries that the cache holds before it starts anew; bounds a worker's memory.
+CACHE_ENTRIES = 500_000
+#: The byte-level alphabet: printable bytes stand for themselves, the rest follow from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+SPACE = chr(BYTE_CHARS[32])
 
 
 class WordCache:
@@ -36,7 +40,6 @@ class WordCache:
         self.word = self.tok.normalizer is not None
         self.cut = CUT["word" if self.word else "byte"]
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -47,46 +50,21 @@ class WordCache:
             return b""
         if PLAIN.search(text) or ("<|" in text and any(s in text for s in self.special)):
             return self.whole(text)
-        if self.word:
-            parts = text.lower().split()
-        elif re.search(r" \s", text):
-            return self._pieces(self.cut.findall(text))
-        else:
-            parts = text.split(" ")
-            parts[1:] = [" " + p for p in parts[1:]]
-        chunks = self.chunks
+        words = self.cut.findall(text.lower() if self.word else text)
+        pieces = self.pieces
         try:
-            return b"".join([chunks[p] for p in parts])
+            return b"".join([pieces[w] for w in words])
         except KeyError:
             pass
-        if len(chunks) > CACHE_ENTRIES:
-            chunks.clear()
-        new = [p for p in dict.fromkeys(parts) if p not in chunks]
-        cuts = [self.cut.findall(p) for p in new]
-        self._learn([w for c in cuts for w in c])
-        pieces = self.pieces
-        for p, c in zip(new, cuts):
-            chunks[p] = pieces[c[0]] if len(c) == 1 else b"".join([pieces[w] for w in c])
-        return b"".join([chunks[p] for p in parts])
-
-    def _pieces(self, words: list[str]) -> bytes:
-        self._learn(words)
-        pieces = self.pieces
-        return b"".join([pieces[w] for w in words])
-
-    def _learn(self, words: list[str]) -> None:
-        pieces = self.pieces
         if len(pieces) > CACHE_ENTRIES:
             pieces.clear()
-        new = [w for w in dict.fromkeys(words) if w not in pieces]
-        if not new:
-            return
-        enc = self.tok.encode(new, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(enc.ids, dtype="<u4")
-        ends = np.searchsorted(np.array(enc.word_ids, dtype=np.int64), np.arange(len(new) + 1))
-        raw = ids.tobytes()
-        for i, w in enumerate(new):
-            pieces[w] = raw[4 * ends[i] : 4 * ends[i + 1]]
+        model = self.tok.model
+        for w in words:
+            if w not in pieces:
+                shown = w.replace(" ", SPACE) if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(BYTE_CHARS)
+                tokens = model.tokenize(shown)
+                pieces[w] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        return b"".join([pieces[w] for w in words])
 
 
 _LOADED: dict[str, WordCache] = {}
