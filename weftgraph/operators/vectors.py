@@ -137,11 +137,10 @@ def mean_pairwise(vectors: DataFrame, group_col: str, vec_col: str = "embedding"
 
 def semantic_entropy(clusters: DataFrame, group_col: str, cluster_col: str) -> DataFrame:
     """V8: entropy of cluster sizes over the log of the members; below two members 0."""
-    sizes = clusters.groupBy(group_col, cluster_col).agg(F.count("*").alias("c"))
-    n = F.sum("c").over(Window.partitionBy(group_col))
-    p = F.col("c") / F.col("n")
-    return sizes.withColumn("n", n).groupBy(group_col).agg(F.max("n").alias("n"), F.sum(-p * F.log(p)).alias("h")).select(
-        group_col, "n", F.when(F.col("n") < 2, 0.0).otherwise(F.col("h") / F.log("n")).alias("entropy"))
+    sizes = clusters.groupBy(group_col, cluster_col).agg(F.count("*").alias("__size")).withColumn("__all", F.sum("__size").over(Window.partitionBy(group_col)))
+    p = F.col("__size") / F.col("__all")
+    return sizes.groupBy(group_col).agg(F.max("__all").alias("n"), F.sum(-p * F.log(p)).alias("__h")).select(
+        group_col, "n", F.when(F.col("n") < 2, 0.0).otherwise(F.col("__h") / F.log("n")).alias("entropy"))
 
 
 def greedy_clusters(vectors: DataFrame, group_col: str, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
