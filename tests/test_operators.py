@@ -229,3 +229,13 @@ def test_stream_gives_the_batch_rows(spark, tmp_path):
     for _ in range(2):
         events.ingest_once(events.read(spark, str(tmp_path / "in")), "event_id", str(tmp_path / "out"), str(tmp_path / f"cp{_}")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 60
+
+
+def test_saved_replies_as_sources(spark, tmp_path):
+    from weftgraph.sources import external
+
+    external.register(spark)
+    (tmp_path / "a.jsonl").write_text('{"title": "T", "url": "u", "content": "%s"}\n{"title": "V"}\n' % ("x" * 60000))
+    rows = spark.read.format("articles").option("path", str(tmp_path)).load().collect()
+    assert [(r["title"], len(r["content"] or "")) for r in rows] == [("T", 50000), ("V", 0)]
+    assert spark.read.format("bindings").option("path", str(tmp_path / "none")).load().count() == 0
