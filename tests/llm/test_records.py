@@ -133,6 +133,10 @@ def test_extraction_of_given_pages(spark, sf_dir):
     ('<article><p>a<b>b</b> c</p><div class="share-bar">Share</div><section id="comments"><p>reader words here</p></section><p>end</p></article>', "ab c end"),
     ('<aside>side</aside><main><script>var x="</p>";</script><p>body text</p><form><label>q</label></form><style>p{}</style></main><footer>f</footer>', "body text"),
     ('<div class="cookie-notice">We use cookies on this site for many things</div><article><p>Text</p></article><div class="ad">Buy now</div><!-- <p>no</p> --><p>x', "Text"),
+    ('<body><div id="nav"><a>x</a></div><div class="post-content"><h2>Hi</h2><p>Short.</p></div><div>Copyright and other words that stand here on their own for long</div>', "Hi Short."),
+    ('<div id="content"><p>outer</p><article><p>inner</p></article></div>', "inner"),
+    ('<article><p class="notice">Note<p>kept<p class=ad>no</article>', "kept"),
+    ('<article><ul><li>one<li>two</ul><table><tr><td>a<td>b</table></article>', "one two a b"),
     ("<article><p>cut off in a tag <a hre", "cut off in a tag"), ("<article><p>ends in &am", "ends in &am"),
 ])
 def test_extraction_cases(page, text):

@@ -3,7 +3,8 @@
 A page is cut into blocks at block-level tags. Every block has the number of its
 words, its link density, the same of the blocks before and after it, and where
 it stands (in an element that by its tag or class holds no main text, beside or
-inside the page's article or main element, or on a page without one). A classification tree, grown here on
+inside the page's article or main element or, failing these, an element named
+like one, or on a page without any). A classification tree, grown here on
 the small labelled table below, tells main text from the rest; the kept blocks
 are joined in page order.
 
@@ -53,6 +54,11 @@ BOILER_WORDS = frozenset(
     "topbar widget alert announcement disclaimer complementary contentinfo dialog alertdialog usercomments".split()
 )
 MAIN_TAGS = frozenset(("article", "main"))
+#: Names of plain elements that hold the text of a page without such an element.
+MAIN_WORDS = frozenset("article articlebody body content entry main maincontent post story text".split())
+#: Elements that matter on the stack only when they hold no main text.
+LOOSE = frozenset(("li", "td", "th", "tr", "a", "span"))
+NAMED_TAGS = frozenset(("div", "section", "td"))
 MAIN_ROLES = frozenset(("main", "article"))
 
 
@@ -62,9 +68,14 @@ class Block:
     words: int
     link_words: int
     main: bool
+    named: bool
     boiler: bool
 
 
+def _value(m: re.Match) -> str:
+    return m.group(1) or m.group(2) or m.group(3) or ""
+
+
 def _is_boiler(tag: str, attrs: str, in_main: bool) -> bool:
     if tag in BOILER_TAGS or (tag == "header" and not in_main):
         return True
@@ -73,8 +84,7 @@ def _is_boiler(tag: str, attrs: str, in_main: bool) -> bool:
     if HIDDEN.search(attrs):
         return True
     for m in HINT.finditer(attrs):
-        value = (m.group(1) or m.group(2) or m.group(3) or "").lower()
-        for name in value.split():
+        for name in _value(m).lower().split():
             if name in BOILER_WORDS or any(p in BOILER_WORDS for p in re.split(r"[-_:]+", name)):
                 return tag not in MAIN_TAGS and tag not in ("body", "html") or "comment" in name or "related" in name or "promo" in name
     return False
@@ -83,10 +93,10 @@ def _is_boiler(tag: str, attrs: str, in_main: bool) -> bool:
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, character references decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, holds no main text, is main
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, holds no main text, is main, is named so
     parts: list[str] = []
     linked: list[str] = []
-    boiler = main = links = 0
+    boiler = main = named = links = 0
 
     def flush() -> None:
         nonlocal parts, linked
@@ -96,7 +106,7 @@ def blocks(page: str) -> list[Block]:
             if found:
                 text, n = " ".join(found), len(found)
                 m = len(html.unescape("".join(linked)).split()) if linked else 0
-                out.append(Block(text, n, min(m, n), main > 0, boiler > 0))
+                out.append(Block(text, n, min(m, n), main > 0, named > 0, boiler > 0))
         parts, linked = [], []
 
     def text(raw: str) -> None:
@@ -127,29 +137,29 @@ def blocks(page: str) -> list[Block]:
         if closing:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if depth is not None:
-                if any(s[1] or s[2] for s in stack[depth:]):
+                if any(s[1] or s[2] or s[3] for s in stack[depth:]):
                     flush()
-                for _, b, a in stack[depth:]:
+                for _, b, a, c in stack[depth:]:
                     boiler -= b
                     main -= a
+                    named -= c
                 del stack[depth:]
             continue
         bad = _is_boiler(tag, attrs, main > 0)
-        is_main = tag in MAIN_TAGS or (bool(attrs) and any((x.group(1) or x.group(2) or x.group(3)) in MAIN_ROLES for x in HINT.finditer(attrs) if x.group(0).lower().startswith("role")))
-        if bad or is_main:
+        is_main = tag in MAIN_TAGS or (bool(attrs) and any(x.group(0)[:4].lower() == "role" and _value(x) in MAIN_ROLES for x in HINT.finditer(attrs)))
+        is_named = not bad and bool(attrs) and tag in NAMED_TAGS and any(
+            p in MAIN_WORDS for x in HINT.finditer(attrs) for p in re.split(r"[-_:\s]+", _value(x).lower()))
+        if bad or is_main or is_named:
             flush()
-        if tag in ("p", "li", "td", "th", "tr", "a", "span") and not bad:
-            # Often left open; they only matter here when they hold no main text.
-            if tag == "p" and stack and stack[-1][0] == "p":
-                boiler -= stack[-1][1]
-                stack.pop()
-            if tag != "p":
-                continue
-            stack.append((tag, False, False))
+        if tag == "p" and stack and stack[-1][0] == "p":
+            # Often left open: a new paragraph ends the one before.
+            boiler -= stack.pop()[1]
+        if tag in LOOSE and not bad:
             continue
-        stack.append((tag, bad, is_main))
+        stack.append((tag, bad, is_main, is_named))
         boiler += bad
         main += is_main
+        named += is_named
     text(page[at:])
     flush()
     return out
@@ -236,11 +246,13 @@ def classify(tree: Node, x: tuple[float, ...]) -> bool:
 
 
 def vectors(found: list[Block]) -> list[tuple[float, ...]]:
-    has_main = any(b.main and not b.boiler for b in found)
+    by_tag = any(b.main and not b.boiler for b in found)
+    inside = [b.main if by_tag else b.named for b in found]
+    has_main = any(i and not b.boiler for i, b in zip(inside, found))
     shape = [(float(b.words), b.link_words / b.words if b.words else 0.0) for b in found]
     edge = (0.0, 0.0)
     return [
-        (float(HELD_OUT if b.boiler else INSIDE if b.main else BESIDE if has_main else PLAIN),
+        (float(HELD_OUT if b.boiler else INSIDE if inside[i] else BESIDE if has_main else PLAIN),
          *shape[i], *(shape[i - 1] if i else edge), *(shape[i + 1] if i + 1 < len(shape) else edge))
         for i, b in enumerate(found)
     ]
