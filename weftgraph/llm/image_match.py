@@ -18,6 +18,8 @@ their class; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -235,20 +237,37 @@ def match(queries: DataFrame, media: DataFrame, id_col: str, media_col: str) ->
     return grouped.mapInArrow(run, f"query {kind}, image {kind}, inliers long, scale double, angle double")
 
 
-def media_table(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def draw(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """An image per row, drawn from its vector: id, media."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            media = [None if v is None else to_pgm(render(np.array([np.nan if e is None else e for e in v], dtype=np.float32))) for v in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary())], names=["id", "media"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_drawn(v) for v in batch.column(1).to_pylist()], pa.binary())], names=["id", "media"])
 
-    return vectors.select(id_col, vector_col).mapInArrow(run, "id long, media binary")
+    return vectors.select(F.col(id_col).cast("long"), vector_col).mapInArrow(run, "id long, media binary")
+
+
+def _drawn(v: list | None) -> bytes | None:
+    return None if v is None else to_pgm(render(np.array([np.nan if e is None else e for e in v], dtype=np.float32)))
+
+
+def marked(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """id, vector and a 128-bit digest of the drawn image (null without one)."""
+    kind = dict(vectors.dtypes)[vector_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = []
+            for v in batch.column(1).to_pylist():
+                media = _drawn(v)
+                marks.append(None if media is None else hashlib.blake2b(media, digest_size=16).digest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.binary())], names=["id", "v", "mark"])
+
+    return vectors.select(F.col(id_col).cast("long"), vector_col).mapInArrow(run, f"id long, v {kind}, mark binary")
 
 
 def edited(media: DataFrame) -> DataFrame:
     """Edited copies of a (id, media) table; the edit follows the content alone."""
-    import zlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,15 +284,15 @@ def copies(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     """Search an edited copy of every row whose id is divisible by ``step`` among
     the images of all rows: query id, class id (the least id of that content),
     members of the class, inliers, scale and angle. A query without a match has
-    no row."""
-    media = media_table(vectors, id_col, vector_col)
-    marks = materialize(media.select("id", F.xxhash64("media").alias("h1"), F.crc32("media").alias("h2")), "image-marks")
-    classes = marks.filter(F.col("id").isNotNull()).groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("members"))
-    classes = materialize(classes, "image-classes")
-    asked = marks.filter(F.col("id") % step == 0).join(classes, ["h1", "h2"])
-    reps = materialize(media.dropDuplicates(["id"]).join(classes.select(F.col("rep").alias("id")), "id", "left_semi"), "image-reps")
-    query_reps = reps.join(asked.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    found = match(edited(query_reps), reps, "id", "media").join(classes.select(F.col("rep").alias("image"), "members"), "image")
-    return asked.select(F.col("id").alias(id_col), F.col("rep").alias("query")).join(found, "query").select(
-        id_col, F.col("image").alias("class_id"), "members", "inliers", F.round("scale", 3).alias("scale"), F.round("angle", 3).alias("angle")
+    no row. Only vectors and digests are shuffled; images are drawn where needed."""
+    marks = materialize(marked(vectors, id_col, vector_col), "image-marks")
+    known = marks.filter(F.col("id").isNotNull() & F.col("mark").isNotNull())
+    classes = known.groupBy("mark").agg(F.min("id").alias("rep"), F.count("*").alias("members"), F.min_by("v", "id").alias("v"))
+    classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "image-classes")
+    asked = known.filter(F.col("id") % step == 0).select("id", "mark").join(classes.select("mark", "class"), "mark")
+    queries = classes.join(asked.select("class").distinct(), "class", "left_semi")
+    found = match(edited(draw(queries, "class", "v")), draw(classes, "class", "v"), "id", "media")
+    found = found.join(classes.select(F.col("class").alias("image"), "rep", "members"), "image")
+    return asked.select(F.col("id").alias(id_col), F.col("class").alias("query")).join(found, "query").select(
+        id_col, F.col("rep").alias("class_id"), "members", "inliers", F.round("scale", 3).alias("scale"), F.round("angle", 3).alias("angle")
     )
