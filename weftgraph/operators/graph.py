@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 
 def _keep(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder; one is set only where none is."""
+    """Checkpoint into the shared folder; a folder is made only in local mode."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftgraph-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="weftgraph-"))
     return df.checkpoint()
 
 
