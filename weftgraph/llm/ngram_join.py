@@ -4,7 +4,8 @@ A document's set holds the distinct 64-bit hashes of its n-word shingles. Equal
 sets form one class, and one representative stands for it. Candidates share a
 tile: a size band (sizes within the threshold's ratio lie in the same or the
 next band) and a shingle of both prefixes in one global order, rarest first, so
-that passages many documents share come last. Rarity is read off a count sketch
+that passages many documents share come last; what the sets hold from that
+shingle on must suffice for the overlap. Rarity is read off a count sketch
 of fixed size over all documents; its errors change the order, never the result.
 
 A candidate pair first meets its hashed bitmaps, whose width follows the set's
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import drop_scratch, materialize, release, text_or_empty
 from .texthash import shingle_set
 
 WORDS = 4
@@ -251,10 +252,13 @@ def exact(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
+    linked = (
         heads.unionByName(laid).repartition(spread, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
         .mapInArrow(meet, "a long, b long")
     )
+    linked = materialize(linked, "ngram-linked")
+    drop_scratch(sets, wanted)
+    return linked
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -276,12 +280,30 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return labels
 
 
-def _tiles(reps: DataFrame, num: int, den: int) -> DataFrame:
-    """A row per prefix shingle of each representative: key, band, uid, n, index."""
+def _tiles(reps: DataFrame) -> DataFrame:
+    """A row per prefix shingle of each representative: key, uid, and size and
+    position in one number (the rows are many and shuffled twice)."""
+    rows = reps.select("uid", "n", F.posexplode("keys").alias("pos", "key"))
+    return rows.select("key", "uid", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("np"))
+
+
+def _spread(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Tile rows with size, position, band and whether the shingle is in the
+    shorter prefix that the smaller side of a pair needs."""
+    n = F.shiftright("np", 32)
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)).cast("int")
-    return reps.select("uid", "n", band.alias("band"), "ip", F.posexplode("keys").alias("pos", "key")).select(
-        "key", "band", "uid", "n", (F.col("pos") < F.col("ip")).alias("idx")
-    )
+    index = F.col("n") - F.ceil(F.lit(2 * num) * F.col("n") / F.lit(den + num)) + 1
+    return rows.select("key", "uid", n.alias("n"), F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos")).withColumns({"band": band, "idx": F.col("pos") < index})
+
+
+def _enough(na: str, pa: str, nb: str, pb: str, num: int, den: int):
+    """Sizes fit, and the elements from the shared shingle on can make the overlap.
+
+    At the first shingle that two linked sets share this always holds.
+    """
+    a, b = F.col(na), F.col(nb)
+    rest = F.least(a - F.col(pa), b - F.col(pb))
+    return (a * den >= b * num) & (b * den >= a * num) & (rest * (den + num) >= (a + b) * num)
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN,
@@ -292,46 +314,48 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     some = prof.filter("n > 0")
     classes = some.groupBy("d1", "d2").agg(F.min("uid").alias("rep"), F.min("id").alias("least"))
     reps = some.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi")
-    tiles = _tiles(reps, num, den)
+    tiles = _tiles(reps)
     # Keys of two or more representatives; counted before the shuffle.
     shared = tiles.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    rows = materialize(tiles.join(shared, "key"), "ngram-tiles")
+    rows = _spread(materialize(tiles.join(shared, "key"), "ngram-tiles"), num, den)
+    del tiles, shared
+    release(docs.sparkSession)
     total = prof.count()
     edges = None
     comp = None
     fars: list[DataFrame] = []
-    fits = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
-    open_rows = rows.select("key", "band", "uid", "n", "idx", F.col("uid").alias("comp"))
+    open_rows = rows.withColumn("comp", F.col("uid"))
     for r in range(rounds):
         # Leaders of every tile and of the tile one band up, by a hash of their own each round.
         lead = open_rows.groupBy("key", "band").agg(
-            F.min(F.struct(F.xxhash64(F.lit(r), F.col("uid")).alias("h"), F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))).alias("l")
+            F.min(F.struct(F.xxhash64(F.lit(r), F.col("uid")).alias("h"), F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))).alias("l")
         )
         lead = lead.select("key", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), "l")
         met = open_rows.join(lead, ["key", "band"]).filter((F.col("uid") != F.col("l.b")) & (F.col("comp") != F.col("l.cb")))
-        met = met.select(F.col("uid").alias("a"), F.col("n").alias("na"), "l").select("a", "na", "l", F.col("l.nb").alias("nb")).filter(fits)
+        met = met.select(F.col("uid").alias("a"), "n", "pos", "l").filter(_enough("n", "pos", "l.nb", "l.pb", num, den))
         pairs = met.groupBy("a").agg(F.min("l").alias("l")).select("a", F.col("l.b").alias("b"))
         seen = materialize(bounded(with_bitmaps(pairs, reps), num, den), "ngram-bounded")
         # Laid out by the leader, of which there are fewer.
-        linked = materialize(exact(seen.filter("maybe").select(F.col("b").alias("a"), F.col("a").alias("b")), reps, docs, id_col, text_col, words, num, den), "ngram-linked")
+        linked = exact(seen.filter("maybe").select(F.col("b").alias("a"), F.col("a").alias("b")), reps, docs, id_col, text_col, words, num, den)
         fars.append(seen.filter("far").select("a", "b"))
         edges = linked if edges is None else edges.unionByName(linked)
         comp = components(edges)
         open_rows = rows.join(comp, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
         mixed = open_rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-        open_rows = materialize(open_rows.join(mixed, "key").select("key", "band", "uid", "n", "idx", "comp"), "ngram-open")
+        open_rows = materialize(open_rows.join(mixed, "key").select(*rows.columns, "comp"), "ngram-open")
+        release(docs.sparkSession)
         # Few enough pairs left to compare them all at once.
         left = open_rows.groupBy("key", "band").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1))).first()[0] or 0
         if left <= PAIRS_PER_ROW * total or linked.isEmpty():
             break
     # What still shares a tile across components, pair by pair. Each pair is
     # formed in the band of its smaller side; equal sizes order by uid.
-    small = open_rows.filter("idx").select("key", "band", F.col("uid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    small = open_rows.filter("idx").select("key", "band", F.col("uid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
     large = open_rows.select(
-        "key", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")
+        "key", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb")
     )
     order = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    rest = small.join(large, ["key", "band"]).filter((F.col("ca") != F.col("cb")) & order & (F.col("na") * den >= F.col("nb") * num))
+    rest = small.join(large, ["key", "band"]).filter((F.col("ca") != F.col("cb")) & order & _enough("na", "pa", "nb", "pb", num, den))
     rest = rest.select("a", "b").distinct()
     # Both sides of a pair against the leaders that one is linked to and the other far from.
     near = edges.select(F.col("a").alias("leader"), F.col("b").alias("x"))
@@ -345,7 +369,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     if not rest.isEmpty():
         maybe = materialize(bounded(with_bitmaps(rest, reps), num, den).filter("maybe").select("a", "b"), "ngram-bounded")
         if not maybe.isEmpty():
-            edges = materialize(edges.unionByName(exact(maybe, reps, docs, id_col, text_col, words, num, den)), "ngram-linked")
+            edges = edges.unionByName(exact(maybe, reps, docs, id_col, text_col, words, num, den))
             comp = components(edges)
     return _labelled(prof, classes, comp)
 
