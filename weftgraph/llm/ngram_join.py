@@ -14,7 +14,7 @@ bounds the overlap from above. What passes is settled by intersecting the exact
 sorted arrays, recomputed from the texts that are still in question.
 
 Links only matter for components here, so a tile is not expanded into all its
-pairs: in a few rounds every document meets one leader of its tiles, and linked
+pairs: in a round or two every document meets one leader of its tiles, and linked
 documents merge. Whatever still shares a tile across components afterwards is
 compared pair by pair, without a cap; a pair is left out only where the bitmap
 shows one side too far from a leader (Jaccard distance is a metric) that the
@@ -45,9 +45,9 @@ WORDS = 4
 NUM, DEN = 85, 100
 SKETCH_BITS = 20
 SKETCH_BLOCK = 1 << 14
-ROUNDS = 3
+ROUNDS = 2
 #: Pairs per document under which the pairwise phase starts without further rounds.
-PAIRS_PER_ROW = 20
+PAIRS_PER_ROW = 50
 #: Buckets of the filter that thins the texts before their join (a bound on its rows).
 FILTER_BUCKETS = 1 << 18
 #: Pairs of one leader that a task compares before the next task takes over.
@@ -326,9 +326,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     fars: list[DataFrame] = []
     open_rows = rows.withColumn("comp", F.col("uid"))
     for r in range(rounds):
-        # Leaders of every tile and of the tile one band up, by a hash of their own each round.
+        # Leaders of every tile and of the tile one band up: first those with the fewest
+        # rarer shingles, which stand nearest to what the tile shares; then by a hash.
+        rank = F.col("pos") if r == 0 else F.lit(0)
         lead = open_rows.groupBy("key", "band").agg(
-            F.min(F.struct(F.xxhash64(F.lit(r), F.col("uid")).alias("h"), F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))).alias("l")
+            F.min(F.struct(rank.alias("r"), F.xxhash64(F.lit(r), F.col("uid")).alias("h"), F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))).alias("l")
         )
         lead = lead.select("key", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), "l")
         met = open_rows.join(lead, ["key", "band"]).filter((F.col("uid") != F.col("l.b")) & (F.col("comp") != F.col("l.cb")))
@@ -345,7 +347,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         open_rows = materialize(open_rows.join(mixed, "key").select(*rows.columns, "comp"), "ngram-open")
         release(docs.sparkSession)
         # Few enough pairs left to compare them all at once.
-        left = open_rows.groupBy("key", "band").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1))).first()[0] or 0
+        sizes = open_rows.groupBy("key", "band", "comp").agg(F.count("*").alias("c")).groupBy("key", "band").agg(F.sum("c").alias("t"), F.sum(F.col("c") * F.col("c")).alias("s"))
+        left = sizes.agg(F.sum(F.col("t") * F.col("t") - F.col("s"))).first()[0] or 0
         if left <= PAIRS_PER_ROW * total or linked.isEmpty():
             break
     # What still shares a tile across components, pair by pair. Each pair is
