@@ -122,7 +122,7 @@ def brute_images(vectors, query_ids):
         p, b = image_match.describe(image_match.from_pgm(image_match.to_pgm(image_match.edit(images[i], zlib.crc32(image_match.to_pgm(images[i]))))))
         for j, (q, c) in found.items():
             a, e = np.nonzero(np.bitwise_count(b[:, None] ^ c[None]).sum(2) <= image_match.MAX_BITS)
-            if len(a) >= image_match.MIN_VOTES and image_match.consensus(np.concatenate([p[a], q[e]], 1))[0] >= image_match.MIN_INLIERS:
+            if len(a) and image_match.consensus(np.concatenate([p[a], q[e]], 1))[0] >= image_match.MIN_INLIERS:
                 out.add((i, j))
     return out
 

@@ -2,10 +2,10 @@
 
 Greyscale images (binary PGM) get corners on several scales, each with an
 orientation from its intensity centroid and 256 binary intensity tests turned by
-it. The 256 bits are cut into eight 32-bit keys; descriptors that agree in one
-key of one table and differ in at most ``MAX_BITS`` bits match. Matches of two
-images vote on a similarity transform, and the pair counts if enough of them
-agree on one.
+it. The 256 bits are cut into four 64-bit keys; images whose corners meet in
+enough entries of the four tables are compared: corners that differ in at most
+``MAX_BITS`` bits match, matches vote on a similarity transform, and the pair
+counts if enough of them agree on one.
 
 Images of equal content form a class and one representative is indexed, so a
 content that many rows share costs as much as one row. No bucket is capped.
@@ -34,8 +34,9 @@ SCALES = (1.0, 1.5, 2.25)
 CORNERS = (18, 9, 5)
 RADIUS = 9
 MAX_BITS = 24
-MIN_VOTES = 3
-MIN_INLIERS = 7
+#: Table entries that make a pair of images worth comparing.
+MIN_VOTES = 2
+MIN_INLIERS = 5
 #: Rows with an id divisible by this are the queries.
 QUERY_STEP = 20
 
@@ -77,16 +78,18 @@ def from_pgm(raw: bytes | None) -> np.ndarray | None:
 
 
 def render(vector: np.ndarray) -> np.ndarray:
-    """An image of a vector: every four values place, size and shade a rectangle."""
-    v = np.nan_to_num(np.asarray(vector, dtype=np.float64), posinf=0.0, neginf=0.0)
-    v = v / (v.std() or 1.0)
-    u = 1 / (1 + np.exp(-1.7 * v))
-    out = np.full((SIDE, SIDE), 128.0)
-    for x, y, size, shade in u[: len(u) // 4 * 4].reshape(-1, 4):
-        w, h = 7 + 14 * size, 21 - 10 * size
-        cx, cy = 6 + (SIDE - 12) * x, 6 + (SIDE - 12) * y
-        out[max(0, int(cy - h)) : int(cy + h), max(0, int(cx - w)) : int(cx + w)] = 20 + 215 * shade
-    return np.rint(_box(out, 1))
+    """An image of a vector: its values as soft cells under a fine texture that is
+    seeded by them. A constant vector gives a flat image."""
+    v = np.nan_to_num(np.asarray(vector, dtype=np.float32), posinf=0.0, neginf=0.0)
+    if not len(v) or v.std() == 0:
+        return np.full((SIDE, SIDE), 128.0)
+    n = int(np.ceil(np.sqrt(len(v))))
+    cells = np.zeros(n * n)
+    cells[: len(v)] = (v - v.mean()) / v.std()
+    soft = _resize(cells.reshape(n, n), n / SIDE)
+    rng = np.random.default_rng(zlib.crc32(v.tobytes()))
+    fine = np.kron(rng.normal(size=(SIDE // 4, SIDE // 4)), np.ones((4, 4)))
+    return np.rint(np.clip(128 + 25 * soft + 45 * _box(fine, 1), 0, 255))
 
 
 def edit(image: np.ndarray, seed: int) -> np.ndarray:
@@ -175,11 +178,9 @@ def consensus(matches: np.ndarray) -> tuple[int, float, float]:
     return best
 
 
-FEATURE_SCHEMA = "x double, y double, scale double, angle double, d0 long, d1 long, d2 long, d3 long"
-
-
 def descriptors(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """A row per corner of every image: id, place and 256 bits in four longs."""
+    """A row per image that has corners: id, their places (four doubles each) and
+    their bits (four longs each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,42 +189,42 @@ def descriptors(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
                 image = from_pgm(raw)
                 if image is not None:
                     p, b = describe(image)
-                    ids += [i] * len(p)
-                    points.append(p)
-                    bits.append(b)
+                    if len(p):
+                        ids.append(i)
+                        points.append(p.astype("<f8").tobytes())
+                        bits.append(b.ravel())
             if ids:
-                p, b = np.concatenate(points), np.concatenate(bits)
-                cols = [batch.column(0).take(pa.array(ids)), *(pa.array(p[:, j]) for j in range(4)), *(pa.array(b[:, j]) for j in range(4))]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(ids)), pa.array(points, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], names=["id", "points", "bits"])
 
     kind = dict(media.dtypes)[id_col]
-    return media.select(F.col(id_col), F.col(media_col)).mapInArrow(run, f"id {kind}, {FEATURE_SCHEMA}")
+    return media.select(F.col(id_col), F.col(media_col)).mapInArrow(run, f"id {kind}, points binary, bits array<long>")
 
 
 def _tables(found: DataFrame, side: str) -> DataFrame:
-    """Each descriptor once per table: its number and its 32-bit key there."""
-    keys = F.array(*[k for i in range(4) for k in (F.col(f"d{i}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"d{i}", 32))])
-    cols = ["id", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3"]
-    return found.select(F.struct(*cols).alias(side), F.posexplode(keys).alias("t", "key"))
+    """Each corner once per table: the table's number, its 64 bits, the image."""
+    return found.select(F.col("id").alias(side), F.posexplode("bits").alias("at", "key")).select(F.pmod("at", F.lit(4)).alias("t"), "key", side)
 
 
 def match(queries: DataFrame, media: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """(query, image, inliers, scale, angle) of pairs that agree geometrically."""
-    q = _tables(descriptors(queries, id_col, media_col), "q")
-    d = _tables(descriptors(media, id_col, media_col), "d")
-    differ = sum((F.bit_count(F.col(f"q.d{i}").bitwiseXOR(F.col(f"d.d{i}"))) for i in range(1, 4)), F.bit_count(F.col("q.d0").bitwiseXOR(F.col("d.d0"))))
-    hits = q.join(d, ["t", "key"]).filter(differ <= MAX_BITS)
-    fields = [F.col(f"{s}.{f}").alias(f"{s}_{f}") for s in ("q", "d") for f in ("x", "y", "scale", "angle")]
-    # One row per pair of corners however many tables they share; at most
-    # corners x corners rows a pair.
-    pairs = hits.select(F.col("q.id").alias("query"), F.col("d.id").alias("image"), F.struct(*fields).alias("m")).distinct()
-    grouped = pairs.groupBy("query", "image").agg(F.collect_list("m").alias("ms")).filter(F.size("ms") >= MIN_VOTES)
+    """(query, image, inliers, scale, angle) of pairs that agree geometrically.
+
+    Pairs that meet in ``MIN_VOTES`` table entries are compared corner by corner.
+    """
+    asked = materialize(descriptors(queries, id_col, media_col), "image-query-corners")
+    known = materialize(descriptors(media, id_col, media_col), "image-corners")
+    hits = _tables(asked, "query").join(_tables(known, "image"), ["t", "key"])
+    pairs = hits.groupBy("query", "image").agg(F.count("*").alias("votes")).filter(F.col("votes") >= MIN_VOTES)
+    full = pairs.join(asked.toDF("query", "qp", "qb"), "query").join(known.toDF("image", "ip", "ib"), "image").select("query", "image", "qp", "qb", "ip", "ib")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, ms in enumerate(batch.column(2).to_pylist()):
-                n, s, t = consensus(np.array([list(m.values()) for m in ms], dtype=float))
+            for i, (qp, qb, ip, ib) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]))):
+                a, b = np.array(qb, dtype="<i8").reshape(-1, 4), np.array(ib, dtype="<i8").reshape(-1, 4)
+                x, y = np.nonzero(np.bitwise_count(a[:, None] ^ b[None]).sum(2) <= MAX_BITS)
+                p, q = np.frombuffer(qp, "<f8").reshape(-1, 4)[x], np.frombuffer(ip, "<f8").reshape(-1, 4)[y]
+                n, s, t = consensus(np.concatenate([p, q], 1))
                 if n >= MIN_INLIERS:
                     out.append((i, n, s, t))
             if out:
@@ -234,7 +235,7 @@ def match(queries: DataFrame, media: DataFrame, id_col: str, media_col: str) ->
                     names=["query", "image", "inliers", "scale", "angle"])
 
     kind = dict(media.dtypes)[id_col]
-    return grouped.mapInArrow(run, f"query {kind}, image {kind}, inliers long, scale double, angle double")
+    return full.mapInArrow(run, f"query {kind}, image {kind}, inliers long, scale double, angle double")
 
 
 def draw(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
