@@ -45,36 +45,37 @@ def best_paths(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
     ``nodes`` has tree, node, parent (null for roots) and score (double).
     """
     base = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
-    known = base.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
-    # Every round: (tree, node, anc = node 2**k steps up or null, hops, total).
+    known = base.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known")).distinct()
+    # Every row: (tree, node, anc = node 2**k steps up or null, hops, total). A row
+    # whose anc is null has reached its root and leaves the rounds.
     state = base.join(known, ["tree", "parent"], "left").select(
         "tree", "node", F.when(F.col("known"), F.col("parent")).alias("anc"),
         F.lit(1).cast("long").alias("hops"), F.col("score").alias("total"),
     )
     state = materialize(state, "reply-jump")
+    done = state.filter(F.col("anc").isNull())
     jumps = []
     for _ in range(max_rounds):
-        if state.filter(F.col("anc").isNotNull()).isEmpty():
+        open_ = state.filter(F.col("anc").isNotNull())
+        if open_.isEmpty():
             break
-        jumps.append(state)
-        up = state.select(
+        jumps.append(open_)
+        up = done.unionByName(open_).select(
             "tree", F.col("node").alias("anc"), F.col("anc").alias("up"), F.col("hops").alias("h2"), F.col("total").alias("t2")
         )
         state = materialize(
-            state.join(up, ["tree", "anc"], "left").select(
-                "tree", "node", F.col("up").alias("anc"),
-                (F.col("hops") + F.coalesce("h2", F.lit(0))).alias("hops"),
-                (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"),
+            open_.join(up, ["tree", "anc"]).select(
+                "tree", "node", F.col("up").alias("anc"), (F.col("hops") + F.col("h2")).alias("hops"), (F.col("total") + F.col("t2")).alias("total")
             ),
             "reply-jump",
         )
-    done = state.filter(F.col("anc").isNull())
+        done = done.unionByName(state.filter(F.col("anc").isNull()))
     parents = base.select("tree", F.col("parent").alias("node")).dropna()
     leaves = done.join(parents, ["tree", "node"], "left_anti")
     rank = F.struct(F.col("total"), F.col("hops"), (-F.col("node")).alias("n"))
     path = leaves.groupBy("tree").agg(F.max(rank).alias("m")).select("tree", (-F.col("m.n")).alias("node"))
     for jump in reversed(jumps):
-        step = jump.filter(F.col("anc").isNotNull()).select("tree", "node", "anc")
+        step = jump.select("tree", "node", "anc")
         path = path.unionByName(path.join(step, ["tree", "node"]).select("tree", F.col("anc").alias("node"))).distinct()
         path = materialize(path, "reply-path")
     return path.join(done.select("tree", "node", F.col("hops").alias("depth")), ["tree", "node"])
