@@ -268,6 +268,13 @@ def test_pairwise_phase_is_exact(spark):
     assert got == Counter(slow_components(rows))
 
 
+def test_long_chain_is_one_component(spark):
+    ids = np.random.default_rng(1).permutation(1000).tolist()
+    edges = spark.createDataFrame([*zip(ids, ids[1:]), (2001, 2000)], "a long, b long")
+    got = {r["uid"]: r["comp"] for r in ngram_join.components(edges).collect()}
+    assert got == {i: 0 for i in ids} | {2000: 2000, 2001: 2000}
+
+
 def test_bitmap_bound_never_cuts():
     rng = np.random.default_rng(9)
     for _ in range(200):

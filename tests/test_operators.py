@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +82,24 @@ def test_modularity_bounds_and_components(spark):
     assert {r["community"] for r in G.label_propagation(p, 4).collect()} <= set("abcde")
 
 
+def chain_ids(shape, n):
+    """The nodes of a path over the ids 0 to n - 1: in random order, or falling and rising again."""
+    ids = list(range(n - 1, 0, -2)) + list(range(n % 2, n, 2))
+    if shape == "shuffled":
+        random.Random(1).shuffle(ids)
+    return list(dict.fromkeys(ids))
+
+
+@pytest.mark.parametrize("shape", ["shuffled", "v"])
+def test_long_chains_are_one_component(spark, shape):
+    ids = chain_ids(shape, 1000)
+    e = spark.createDataFrame([*zip(ids, ids[1:]), (2000, 2000), (3001, 3000), (4000, None)], "src long, dst long")
+    got = {r["id"]: r["component"] for r in G.components(e).collect()}
+    assert got == {i: min(ids) for i in ids} | {2000: 2000, 3000: 3000, 3001: 3000, 4000: 4000}
+    with pytest.raises(RuntimeError):
+        G.components(e, max_rounds=2)
+
+
 def facts(spark):
     rows = [(1, "1", "2", "active"), (2, None, None, "active"), (3, "1", None, "obsolete"), (4, None, None, None)]
     df = spark.createDataFrame(rows, "entity_id long, f string, t string, fact_status string")

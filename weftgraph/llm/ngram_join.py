@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import graph
 from .common import drop_scratch, materialize, release, text_or_empty
 from .texthash import shingle_set
 
@@ -261,23 +262,10 @@ def exact(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_
     return linked
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(uid, comp): the least uid reachable, for every node of ``edges`` (a, b).
-
-    Labels spread over edges and then jump to their label's label, so rounds
-    grow with the logarithm of the longest chain.
-    """
-    both = materialize(edges.union(edges.select("b", "a")).toDF("a", "b").distinct(), "ngram-edges")
-    labels = materialize(both.groupBy(F.col("a").alias("uid")).agg(F.least(F.min("b"), F.min("a")).alias("comp")), "ngram-labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.toDF("b", "theirs"), "b").groupBy(F.col("a").alias("uid")).agg(F.min("theirs").alias("theirs"))
-        step = labels.join(near, "uid").select("uid", "comp", F.least("comp", "theirs").alias("next"))
-        up = labels.toDF("next", "up")
-        nxt = materialize(step.join(up, "next").select("uid", F.col("up").alias("comp"), (F.col("up") != F.col("comp")).alias("moved")), "ngram-labels")
-        labels = nxt.select("uid", "comp")
-        if nxt.filter("moved").isEmpty():
-            break
-    return labels
+def components(edges: DataFrame) -> DataFrame:
+    """(uid, comp): the least uid reachable, for every node of ``edges`` (a, b)."""
+    found = graph.components(edges.toDF("src", "dst"), keep=lambda df: materialize(df, "ngram-links"))
+    return materialize(found.toDF("uid", "comp"), "ngram-labels")
 
 
 def _tiles(reps: DataFrame) -> DataFrame:

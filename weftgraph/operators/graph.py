@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -226,15 +227,29 @@ def label_propagation(pairs: DataFrame, rounds: int = 8) -> DataFrame:
     return labels
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Connected components by least label with label jumps: id, component."""
-    both = _keep(edges.select("src", "dst").union(edges.select("dst", "src")).distinct().toDF("id", "other"))
-    labels = _keep(both.groupBy("id").agg(F.least(F.min("other"), F.min("id")).alias("component")))
+def components(edges: DataFrame, max_rounds: int = 100, keep: Callable[[DataFrame], DataFrame] = _keep) -> DataFrame:
+    """Connected components by alternating stars: id, component (the
+    least id reachable), for every id of ``edges`` (src, dst).
+
+    Links run from the larger to the smaller id. A round hooks every link onto the
+    least neighbour of its smaller end, then all smaller ends of an id onto the
+    least of them; links never become more, and whole trees are hooked, so rounds
+    grow with the logarithm of a chain's length. It ends when every tree is a star
+    and raises an error if ``max_rounds`` did not suffice.
+    """
+    pairs = keep(edges.select(F.greatest("src", "dst").alias("v"), F.least("src", "dst").alias("m")).filter("v is not null").distinct())
+    links = pairs.filter("v <> m")
     for _ in range(max_rounds):
-        near = both.join(labels.toDF("other", "theirs"), "other").groupBy("id").agg(F.min("theirs").alias("theirs"))
-        step = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "theirs").alias("at"))
-        new = _keep(step.join(labels.toDF("at", "component"), "at").select("id", "old", "component"))
-        labels = new.select("id", "component")
-        if new.filter(F.col("old") != F.col("component")).isEmpty():
+        both = links.select(F.col("m").alias("id"), F.col("v").alias("other")).union(links)
+        least = both.groupBy(F.col("id").alias("m")).agg(F.least(F.col("m"), F.min("other")).alias("to"))
+        large = keep(links.join(least, "m").select("v", F.col("to").alias("m")).distinct())
+        least = large.groupBy("v").agg(F.min("m").alias("to"))
+        small = large.join(least, "v").filter("m <> to").select(F.col("m").alias("v"), F.col("to").alias("m"))
+        links = keep(least.toDF("v", "m").union(small).distinct())
+        ends = links.select(F.col("v").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("m", F.lit(0), F.lit(1)))
+        if ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1").isEmpty():
             break
-    return labels
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    nodes = pairs.select(F.col("v").alias("id")).union(pairs.select("m")).distinct()
+    return nodes.join(links.toDF("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
