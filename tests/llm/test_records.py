@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import html
+import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -70,6 +72,32 @@ def test_random_strings_and_exclusions(spark):
         assert not secret_scan.is_random(known, enc)
 
 
+CHEAP = ("https/download/internal/documents/archive/session/", "/home/service/configuration/production/credentials/", "authorization_bearer_header_value=")
+
+
+@pytest.mark.parametrize("ahead", CHEAP)
+@pytest.mark.parametrize("digits", [True, False])
+def test_cheap_words_do_not_hide_random_strings(ahead, digits):
+    enc = secret_scan._encoding(tokenizer_file("byte_bpe_50k.tiktoken"))
+    rng = random.Random(7)
+    letters = string.ascii_letters + (string.digits if digits else "")
+    found = 0
+    for k in range(200):
+        key = "".join(rng.choice(letters) for _ in range(20 + k % 20))
+        text = f"see {ahead}{key}/archive/documents end"
+        at = text.index(key)
+        spans = secret_scan.all_spans(text, [], enc)
+        found += any(s <= at and at + len(key) <= e for s, _, e in spans)
+    assert found >= 195
+
+
+def test_ordinary_runs_hold_no_random_parts():
+    enc = secret_scan._encoding(tokenizer_file("byte_bpe_50k.tiktoken"))
+    for run in ("getElementsByClassNameAndIdentifier", "docs/reference/2024/05/17/release-notes-v2", "src/components/UserProfile/index_test_helpers2",
+                "files/123e4567-e89b-12d3-a456-426614174000/documents/archive/internal", "="*40, "application_configuration_production_eu-west-1"):
+        assert secret_scan.all_spans(run, [], enc) == [], run
+
+
 def test_redact_keeps_rows_and_columns(spark):
     df = table(spark, AWKWARD)
     out = {r["doc_id"]: r for r in secret_scan.redact(df).collect()}

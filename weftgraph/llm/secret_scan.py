@@ -4,7 +4,10 @@ Ordinary words cost few tokens per character under a byte-level vocabulary;
 random strings cost many. A run of key-like characters whose characters per
 token fall below a limit is reported as kind ``random``, unless it is a known
 digest form (hex of a usual digest length, UUID) or an identifier (words joined
-by ``_ - / .``), or lies inside a span of the fixed patterns.
+by ``_ - / .``), or lies inside a span of the fixed patterns. Of a run that
+passes as a whole, the parts are tested: those between separators, and the
+stretches of tokens that are shorter than the limit on the whole, so cheap words
+around a random string (a path, a key name) do not hide it.
 
 Every text is scanned whole. Null text counts as empty; repeated rows give
 repeated results; extra columns are ignored; an empty table gives an empty one.
@@ -38,6 +41,11 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.I | re.A)
 UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I | re.A)
 IDENTIFIER = re.compile(r"[+/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[+/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[+/_=-]*")
+#: Digest forms inside a longer run.
+KNOWN = re.compile(rf"(?<![A-Za-z0-9])(?:{UUID.pattern}|{DIGEST.pattern})(?![A-Za-z0-9])", re.I | re.A)
+SEPARATORS = "+/_=-"
+PART = re.compile(r"[A-Za-z0-9]+")
+MIN_RANDOM = 20
 #: Characters per token under which a candidate counts as random.
 MAX_RATIO = 2.0
 
@@ -58,13 +66,67 @@ def _encoding(path: str):
 
 
 def is_random(run: str, enc, max_ratio: float = MAX_RATIO) -> bool:
-    if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
+    if not any(c.isalpha() for c in run):
         return False
     if DIGEST.fullmatch(run) or UUID.fullmatch(run) or IDENTIFIER.fullmatch(run):
         return False
     return len(run) < max_ratio * len(enc.encode_ordinary(run))
 
 
+def dense_stretches(run: str, enc, max_ratio: float = MAX_RATIO) -> list[tuple[int, int]]:
+    """All maximal stretches of tokens by ``max_ratio`` less their length (Ruzzo and Tompa)."""
+    held: list[list] = []  # start, end, sum ahead of it, sum with it
+    total, at = 0.0, 0
+    for token in enc.decode_tokens_bytes(enc.encode_ordinary(run)):
+        score = max_ratio - len(token)
+        if score > 0:
+            new = [at, at + len(token), total, total + score]
+            while held:
+                k = len(held) - 1
+                while k >= 0 and held[k][2] >= new[2]:
+                    k -= 1
+                if k < 0 or held[k][3] >= new[3]:
+                    break
+                new = [held[k][0], new[1], held[k][2], new[3]]
+                del held[k:]
+            held.append(new)
+        total += score
+        at += len(token)
+    return [(h[0], h[1]) for h in held]
+
+
+def random_parts(run: str, enc, max_ratio: float = MAX_RATIO) -> list[tuple[int, int]]:
+    """The spans of ``run`` that are random by themselves, overlaps merged."""
+    if IDENTIFIER.fullmatch(run):
+        return []
+    found = []
+    edges = [0, *(x for m in KNOWN.finditer(run) for x in m.span()), len(run)]
+    for lo, hi in zip(edges[::2], edges[1::2]):
+        if hi - lo < MIN_RANDOM:
+            continue
+        spans = [m.span() for m in PART.finditer(run, lo, hi)]
+        for s, e in dense_stretches(run[lo:hi], enc, max_ratio):
+            s, e = s + lo, e + lo
+            while s < e and run[s] in SEPARATORS:
+                s += 1
+            while s < e and run[e - 1] in SEPARATORS:
+                e -= 1
+            left, right = s, e
+            while left > lo and run[left - 1] not in SEPARATORS:
+                left -= 1
+            while right < hi and run[right] not in SEPARATORS:
+                right += 1
+            spans += [(left, right), (s, e)]
+        found += [(s, e) for s, e in set(spans) if e - s >= MIN_RANDOM and is_random(run[s:e], enc, max_ratio)]
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(found):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind index, end) of the fixed patterns, code points."""
     found = []
@@ -85,6 +147,9 @@ def all_spans(text: str, base: list[tuple[int, int, int]], enc, max_ratio: float
             continue
         if is_random(m.group(), enc, max_ratio):
             added.append((s, 3, e))
+        elif not DIGEST.fullmatch(m.group()):
+            parts = ((s + a, s + b) for a, b in random_parts(m.group(), enc, max_ratio))
+            added += [(a, 3, b) for a, b in parts if not any(bs <= a and b <= be for bs, _, be in base)]
     return sorted(base + added)
 
 
