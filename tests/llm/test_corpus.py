@@ -135,6 +135,58 @@ def test_copies_against_brute_force(spark, sf_dir):
     assert len(got & want) >= 0.9 * len(want) and all((i, i) in want for i in vectors if i % 20 == 0)
 
 
+def agrees(p, b, q, c):
+    """Whether two images agree by all of their corners, and their equal 64-bit words."""
+    words = np.bitwise_count(b.view("<u8")[:, None] ^ c.view("<u8")[None])  # of signed numbers it counts the bits of |x|
+    x, y = np.nonzero(words.sum(2) <= image_match.MAX_BITS)
+    ok = len(x) and image_match.consensus(np.concatenate([p[x], q[y]], 1))[0] >= image_match.MIN_INLIERS
+    return ok, int((words == 0).sum())
+
+
+def resized(image, by):
+    return image_match._resize(image, by)
+
+
+def turned(image, angle):
+    """Turned about the middle, edges repeated."""
+    y, x = np.mgrid[: image.shape[0], : image.shape[1]] - (image.shape[0] - 1) / 2
+    a = np.rint(np.cos(angle) * y - np.sin(angle) * x + (image.shape[0] - 1) / 2).astype(int).clip(0, image.shape[0] - 1)
+    b = np.rint(np.sin(angle) * y + np.cos(angle) * x + (image.shape[1] - 1) / 2).astype(int).clip(0, image.shape[1] - 1)
+    return image[a, b]
+
+
+def test_distorted_copies_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    images = [image_match.from_pgm(image_match.to_pgm(image_match.render(rng.normal(size=64)))) for _ in range(40)]
+    asked = []
+    for im in images[:12]:
+        asked += [resized(im, 1.08), resized(im, 0.9), turned(im, 0.12), im + rng.normal(0, 10, im.shape), image_match._box(im, 1)]
+    pgm = [[(i, bytearray(image_match.to_pgm(m))) for i, m in enumerate(ms)] for ms in (asked, images)]
+    q, d = (spark.createDataFrame(rows, "id long, media binary") for rows in pgm)
+    (qs, ds) = ([image_match.describe(image_match.from_pgm(bytes(m))) for _, m in rows] for rows in pgm)
+    want, missed = set(), 0
+    for i, query in enumerate(qs):
+        for j, image in enumerate(ds):
+            ok, words = agrees(*query, *image)
+            if ok:
+                want.add((i, j))
+                missed += words < 2  # lost where two equal words make a candidate
+    assert {(x["query"], x["image"]) for x in image_match.match(q, d, "id", "media").collect()} == want
+    assert len(want) >= 12 and missed, (len(want), missed)
+
+
+def test_all_copies_of_all_queries(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    vectors = {r["vec_id"]: r["embedding"] for r in df.collect()}
+    media = {i: image_match.to_pgm(image_match.render(np.array(v, dtype=np.float32))) for i, v in vectors.items()}
+    found = {i: image_match.describe(image_match.from_pgm(m)) for i, m in media.items()}
+    want = set()
+    for i in [i for i in vectors if i % 20 == 0]:
+        query = image_match.describe(image_match.from_pgm(image_match.to_pgm(image_match.edit(image_match.from_pgm(media[i]), zlib.crc32(media[i])))))
+        want |= {(i, j) for j, image in found.items() if agrees(*query, *image)[0]}
+    assert {(r["vec_id"], r["class_id"]) for r in image_match.copies(df).collect()} == want
+
+
 def test_copies_edge_cases(spark):
     rng = np.random.default_rng(5)
     a, b = rng.normal(size=64).tolist(), rng.normal(size=64).tolist()

@@ -2,10 +2,10 @@
 
 Greyscale images (binary PGM) get corners on several scales, each with an
 orientation from its intensity centroid and 256 binary intensity tests turned by
-it. The 256 bits are cut into four 64-bit keys; images whose corners meet in
-enough entries of the four tables are compared: corners that differ in at most
-``MAX_BITS`` bits match, matches vote on a similarity transform, and the pair
-counts if enough of them agree on one.
+it. Corners that differ in at most ``MAX_BITS`` bits match, matches vote on a
+similarity transform, and the pair counts if enough of them agree on one. Every
+query meets every image: no table of keys reaches a radius of ``MAX_BITS``
+without loss, so corners are compared by their bits, block by block.
 
 Images of equal content form a class and one representative is indexed, so a
 content that many rows share costs as much as one row. No bucket is capped.
@@ -34,9 +34,10 @@ SCALES = (1.0, 1.5, 2.25)
 CORNERS = (18, 9, 5)
 RADIUS = 9
 MAX_BITS = 24
-#: Table entries that make a pair of images worth comparing.
-MIN_VOTES = 2
 MIN_INLIERS = 5
+#: Images that a task holds at once, and corners compared in one step.
+BLOCK_IMAGES = 8_192
+STEP_CORNERS = 16_384
 #: Rows with an id divisible by this are the queries.
 QUERY_STEP = 20
 
@@ -201,41 +202,86 @@ def descriptors(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     return media.select(F.col(id_col), F.col(media_col)).mapInArrow(run, f"id {kind}, points binary, bits array<long>")
 
 
-def _tables(found: DataFrame, side: str) -> DataFrame:
-    """Each corner once per table: the table's number, its 64 bits, the image."""
-    return found.select(F.col("id").alias(side), F.posexplode("bits").alias("at", "key")).select(F.pmod("at", F.lit(4)).alias("t"), "key", side)
+class Block:
+    """Corners of a bounded number of images, to be met by one query after another."""
+
+    def __init__(self, ids: list, points: list[bytes], bits: list[list[int]]):
+        self.ids = ids
+        self.points = [np.frombuffer(p, "<f8").reshape(-1, 4) for p in points]
+        self.bits = [np.array(b, dtype="<i8").view("<u8").reshape(-1, 4) for b in bits]
+        self.words = np.ascontiguousarray(np.concatenate(self.bits).T) if ids else np.empty((4, 0), dtype="<u8")
+        self.owner = np.repeat(np.arange(len(ids)), [len(b) for b in self.bits])
+
+    def near(self, bits: np.ndarray) -> np.ndarray:
+        """Images with a match of any of the corners ``bits``."""
+        out = []
+        x = np.empty(STEP_CORNERS, dtype="<u8")
+        c, d = np.empty(STEP_CORNERS, dtype=np.uint8), np.empty(STEP_CORNERS, dtype=np.uint8)
+        for lo in range(0, self.words.shape[1], STEP_CORNERS):
+            w = self.words[:, lo : lo + STEP_CORNERS]
+            n = w.shape[1]
+            for corner in bits:
+                np.bitwise_count(np.bitwise_xor(w[0], corner[0], out=x[:n]), out=c[:n])
+                np.bitwise_count(np.bitwise_xor(w[1], corner[1], out=x[:n]), out=d[:n])
+                c[:n] += d[:n]
+                at = np.flatnonzero(c[:n] <= MAX_BITS)
+                if len(at):
+                    rest = np.bitwise_count(w[2][at] ^ corner[2]) + np.bitwise_count(w[3][at] ^ corner[3])
+                    out.append(self.owner[lo + at[c[at] + rest <= MAX_BITS]])
+        return np.unique(np.concatenate(out)) if out else np.empty(0, dtype=int)
+
+    def agreeing(self, points: np.ndarray, bits: np.ndarray) -> Iterator[tuple]:
+        """(image, inliers, scale, angle) of all images that agree with a query.
+
+        Inliers are different corners of the query: if all but MIN_INLIERS - 1 of
+        its corners match nothing in an image, the image cannot have enough.
+        """
+        for k in self.near(bits[: max(0, len(bits) - MIN_INLIERS + 1)]):
+            x, y = np.nonzero(np.bitwise_count(bits[:, None] ^ self.bits[k][None]).sum(2) <= MAX_BITS)
+            if len(np.unique(x)) >= MIN_INLIERS:
+                n, s, t = consensus(np.concatenate([points[x], self.points[k][y]], 1))
+                if n >= MIN_INLIERS:
+                    yield self.ids[k], n, s, t
 
 
 def match(queries: DataFrame, media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """(query, image, inliers, scale, angle) of pairs that agree geometrically.
 
-    Pairs that meet in ``MIN_VOTES`` table entries are compared corner by corner.
+    Images are dealt into blocks of bounded size, and each block is sent every
+    query after its images, so the work grows with queries times images.
     """
     asked = materialize(descriptors(queries, id_col, media_col), "image-query-corners")
     known = materialize(descriptors(media, id_col, media_col), "image-corners")
-    hits = _tables(asked, "query").join(_tables(known, "image"), ["t", "key"])
-    pairs = hits.groupBy("query", "image").agg(F.count("*").alias("votes")).filter(F.col("votes") >= MIN_VOTES)
-    full = pairs.join(asked.toDF("query", "qp", "qb"), "query").join(known.toDF("image", "ip", "ib"), "image").select("query", "image", "qp", "qb", "ip", "ib")
+    blocks = max(int(media.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known.count() // BLOCK_IMAGES))
+    part = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    laid = known.select(part.alias("part"), F.lit(0).alias("side"), "id", "points", "bits").unionByName(
+        asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"), F.lit(1).alias("side"), "id", "points", "bits")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, block = None, ([], [], []), None
         for batch in batches:
             out = []
-            for i, (qp, qb, ip, ib) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]))):
-                a, b = np.array(qb, dtype="<i8").reshape(-1, 4), np.array(ib, dtype="<i8").reshape(-1, 4)
-                x, y = np.nonzero(np.bitwise_count(a[:, None] ^ b[None]).sum(2) <= MAX_BITS)
-                p, q = np.frombuffer(qp, "<f8").reshape(-1, 4)[x], np.frombuffer(ip, "<f8").reshape(-1, 4)[y]
-                n, s, t = consensus(np.concatenate([p, q], 1))
-                if n >= MIN_INLIERS:
-                    out.append((i, n, s, t))
+            for p, side, i, points, bits in zip(*(c.to_pylist() for c in batch.columns)):
+                if p != current:
+                    current, held, block = p, ([], [], []), None
+                if not side:
+                    for to, v in zip(held, (i, points, bits)):
+                        to.append(v)
+                    continue
+                block = block or Block(*held)
+                corners = np.array(bits, dtype="<i8").view("<u8").reshape(-1, 4)
+                out += [(i, *found) for found in block.agreeing(np.frombuffer(points, "<f8").reshape(-1, 4), corners)]
             if out:
-                rows, n, s, t = zip(*out)
-                rows = pa.array(rows)
+                q, m, n, s, t = zip(*out)
+                kind = batch.schema.field("id").type
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(n, pa.int64()), pa.array(s, pa.float64()), pa.array(t, pa.float64())],
+                    [pa.array(q, kind), pa.array(m, kind), pa.array(n, pa.int64()), pa.array(s, pa.float64()), pa.array(t, pa.float64())],
                     names=["query", "image", "inliers", "scale", "angle"])
 
     kind = dict(media.dtypes)[id_col]
-    return full.mapInArrow(run, f"query {kind}, image {kind}, inliers long, scale double, angle double")
+    laid = laid.repartition(blocks, "part").sortWithinPartitions("part", "side")
+    return laid.mapInArrow(run, f"query {kind}, image {kind}, inliers long, scale double, angle double")
 
 
 def draw(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
