@@ -30,8 +30,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in training sequences."""
-    return kk_packing.pack(docs)
+    """Pieces of documents in training sequences, numbered in the order of the schedule."""
+    return kk_packing.pack(docs, by_file=kk_packing.in_files(docs))
 
 
 STAGES = [

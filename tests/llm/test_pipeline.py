@@ -41,6 +41,29 @@ def test_stages(spark, sf_dir):
     assert {r["doc_id"] for r in kept["packing"]} == {r["doc_id"] for r in kept["mixing"]}
 
 
+def test_packing_follows_the_schedule(spark, tmp_path):
+    sizes = [3, 40, 8, 120, 60]  # rows of each file, in the order of the schedule
+    rows = [(f * 1000 + i, f"w{f} " * 90) for f, n in enumerate(sizes) for i in range(n)]
+    sc = spark.sparkContext
+    df = spark.createDataFrame(sc.union([sc.parallelize([r for r in rows if r[0] // 1000 == f], 1) for f in range(len(sizes))]), "doc_id long, text string")
+    with_sizes = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "1", "spark.sql.adaptive.enabled": "false"}
+    for k, v in with_sizes.items():
+        spark.conf.set(k, v)
+    try:
+        df.write.parquet(str(tmp_path / "mixed"))
+        packed = corpus_pipeline.packing(spark, spark.read.parquet(str(tmp_path / "mixed")), "").collect()
+    finally:
+        for k in with_sizes:
+            spark.conf.unset(k)
+    by_file = [{r["sequence_id"] for r in packed if r["doc_id"] // 1000 == f} for f in range(len(sizes))]
+    assert all(by_file) and all(max(a) < min(b) for a, b in zip(by_file, by_file[1:]))
+    assert {r["doc_id"] for r in packed} == {i for i, _ in rows}
+    used = Counter()
+    for r in packed:
+        used[r["sequence_id"]] += r["length"]
+    assert max(used.values()) <= 2048
+
+
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
     assert 4 <= len(corpus_pipeline.STAGES) <= 5

@@ -9,7 +9,11 @@ smallest of the other, always the two of largest imbalance first. If a window
 comes out over the capacity, k rises by one and the group is split again.
 
 Groups never leave their input partition, so there is no shuffle and memory is
-bounded by one group. Sequence ids are (input partition, running number).
+bounded by one group. Sequence ids are (input partition, running number). Spark
+reads files by descending length, so where the order of the rows lies in part
+files (``by_file``) the ids are (part number, first row of a stretch that was
+read on end, running number) and a group ends with its stretch: in the order of
+the ids, sequences follow the order in which the rows were written.
 Null text is an empty text (one piece: the end id); rows repeated in the input
 are packed as often; an empty table gives no rows.
 """
@@ -19,10 +23,13 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import text_or_empty, tokenizer_file
 from .wordcache import encoder
@@ -31,6 +38,8 @@ CAPACITY = 2048
 PIECE = 512
 GROUP_WINDOWS = 128
 END_ID = 1
+#: Bits of a sequence id by file: part number, first row, running number.
+PART_BITS, ROW_BITS, RUN_BITS = 18, 26, 19
 
 
 def differencing(weights: list[int], k: int) -> list[tuple[int, tuple]]:
@@ -78,13 +87,30 @@ def cut(n: int, capacity: int, piece: int) -> tuple[int, list[int]]:
     return full, [rest // m + (i < rest % m) for i in range(m)]
 
 
+def in_files(docs: DataFrame) -> bool:
+    """Whether the rows come from files that Spark can name with their row numbers."""
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
+def first_id(part: int | None, row: int) -> int:
+    """The least sequence id of a stretch of rows."""
+    if part is None or part >> PART_BITS or row >> ROW_BITS:
+        raise ValueError(f"no sequence id for row {row} of part {part}")
+    return (part << ROW_BITS | row) << RUN_BITS
+
+
 def pack(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None,
     capacity: int = CAPACITY, piece: int = PIECE, group_windows: int = GROUP_WINDOWS, end_id: int = END_ID,
-    with_ids: bool = False,
+    with_ids: bool = False, by_file: bool = False,
 ) -> DataFrame:
     """One row per piece: document, start, length, crc32 of the ids, ids of the
-    document, sequence and offset there; with ``with_ids`` the ids themselves."""
+    document, sequence and offset there; with ``with_ids`` the ids themselves.
+    With ``by_file`` sequences are numbered by part file and row."""
     path = tokenizer or tokenizer_file("byte_bpe_50k.json")
     limit = group_windows * capacity
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -94,6 +120,7 @@ def pack(
 
         enc = encoder(path)
         base = TaskContext.get().partitionId() << 36
+        after: tuple | None = None  # the place that goes on from the last row
         sequences = 0
         waiting: list[tuple] = []  # (doc, start, bytes, doc_tokens)
         held = 0
@@ -125,7 +152,17 @@ def pack(
         for batch in batches:
             id_type = batch.schema.field(0).type
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            places = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()) if by_file else repeat(None)
+            for doc, text, place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), places):
+                if place:
+                    if place != after:
+                        if waiting:
+                            rows += close()
+                            waiting, held = [], 0
+                        base, sequences = first_id(*place), 0
+                    elif sequences >> (RUN_BITS - 1):
+                        raise ValueError(f"too many sequences in part {place[0]}")
+                    after = (place[0], place[1] + 1)
                 raw = enc.encode(text) + end
                 n = len(raw) // 4
                 full, rest = cut(n, capacity, piece)
@@ -151,6 +188,8 @@ def pack(
 
     kind = dict(docs.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return docs.select(id_col, text_or_empty(text_col).alias("text")).mapInArrow(
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)-.*-c0+\.", 1)
+    place = [F.nullif(part, F.lit("")).cast("int").alias("part"), F.col("_metadata.row_index").alias("row")] if by_file else []
+    return docs.select(id_col, text_or_empty(text_col).alias("text"), *place).mapInArrow(
         run, schema + (", ids array<int>" if with_ids else "")
     )
