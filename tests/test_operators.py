@@ -258,3 +258,16 @@ def test_saved_replies_as_sources(spark, tmp_path):
     rows = spark.read.format("articles").option("path", str(tmp_path)).load().collect()
     assert [(r["title"], len(r["content"] or "")) for r in rows] == [("T", 50000), ("V", 0)]
     assert spark.read.format("bindings").option("path", str(tmp_path / "none")).load().count() == 0
+
+
+def test_whole_texts_reach_the_operators(spark, tmp_path):
+    from weftgraph.plans.catalogue import QUERIES
+
+    far = "plain words " * 30 + "no data found, unable to determine"
+    spark.createDataFrame([(2, far)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    turns = [(1, 0, "a" * 30 + " end"), (1, 1, "b" * 60 + "a" * 30 + " end"), (1, 2, "a" * 25 + " other")]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).first()
+    assert run("chat_messages_whole")["user_text"] == far
+    assert run("rejection_detect_whole")["strength"] > run("rejection_detect")["strength"]
+    assert run("context_overlap_whole")["precision"] == round(2 / 3, 6)

@@ -69,10 +69,19 @@ REJ = f"list_filter({_list(S.REJECTION)}, lambda p: contains(lower(t), p))"
 n AS (SELECT doc_id, conf, len({REJ}) AS n, len(list_filter({_list(S.CONFIDENCE)}, lambda p: contains(lower(t), p))) AS s FROM a)
 SELECT doc_id, CASE WHEN conf < 0.2 THEN true WHEN s > 0 AND conf > 0.7 THEN false ELSE n >= 2 OR (n >= 1 AND conf < 0.5) END AS rejected, round(CASE WHEN conf < 0.2 THEN greatest(least(n / 5.0, 1.0), 0.8) ELSE least(n / 5.0, 1.0) END, 6) AS strength FROM n""")
 def rejection_detect(spark, sf_dir):
-    """E4."""
-    d = load(spark, sf_dir, "documents")
+    """E4, on the first 100 characters like its SQL; ``rejection_detect_whole`` has the whole text."""
+    return _rejections(load(spark, sf_dir, "documents"), F.substring("text", 1, 100))
+
+
+@query("rejection_detect_whole")
+def rejection_detect_whole(spark, sf_dir):
+    """Phrases anywhere in the text."""
+    return _rejections(load(spark, sf_dir, "documents"), F.col("text"))
+
+
+def _rejections(d, text):
     lead = F.when(F.col("doc_id") % 4 == 0, "I cannot answer; unable to determine. ").when(F.col("doc_id") % 4 == 1, "No data found: ").otherwise("According to the text ")
-    a = d.select("doc_id", F.concat(lead, F.substring("text", 1, 100)).alias("t"), (F.col("doc_id") % 10 / 10.0).alias("conf"))
+    a = d.select("doc_id", F.concat(lead, text).alias("t"), (F.col("doc_id") % 10 / 10.0).alias("conf"))
     return a.select("doc_id", S.is_rejection(F.col("t"), F.col("conf")).alias("rejected"), F.round(S.rejection_strength(F.col("t"), F.col("conf")), 6).alias("strength"))
 
 
@@ -153,10 +162,19 @@ def overlap_ratio(spark, sf_dir):
 @query("context_overlap", f"""WITH c AS (SELECT conv_id, list(left(text, 40) ORDER BY turn) AS r FROM conversations GROUP BY 1), t AS (SELECT conv_id, [left(text, 20)] AS t FROM conversations WHERE turn = 0)
 SELECT conv_id, round(len(list_filter(r, lambda x: contains(lower(x), lower(t[1])) OR contains(lower(t[1]), lower(x)))) / len(r), 6) AS precision, CASE WHEN contains(lower(array_to_string(r, ' ')), lower(t[1])) THEN 1.0 ELSE 0.0 END AS recall FROM c JOIN t USING(conv_id)""")
 def context_overlap(spark, sf_dir):
-    """E5."""
-    c = load(spark, sf_dir, "conversations")
-    r = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 40).alias("t")))), lambda x: x["t"]).alias("r"))
-    t = c.filter("turn = 0").select("conv_id", F.array(F.substring("text", 1, 20)).alias("t"))
+    """E5, on prefixes like its SQL; ``context_overlap_whole`` has the whole texts."""
+    return _context_overlap(load(spark, sf_dir, "conversations"), F.substring("text", 1, 40), F.substring("text", 1, 20))
+
+
+@query("context_overlap_whole")
+def context_overlap_whole(spark, sf_dir):
+    """E5: whole contexts against the whole truth."""
+    return _context_overlap(load(spark, sf_dir, "conversations"), F.col("text"), F.col("text"))
+
+
+def _context_overlap(c, context, truth):
+    r = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", context.alias("t")))), lambda x: x["t"]).alias("r"))
+    t = c.filter("turn = 0").select("conv_id", F.array(truth).alias("t"))
     return r.join(t, "conv_id").select("conv_id", F.round(S.context_precision(F.col("r"), F.col("t")), 6).alias("precision"), S.context_recall(F.col("r"), F.col("t")).cast("double").alias("recall"))
 
 

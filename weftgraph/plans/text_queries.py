@@ -289,9 +289,19 @@ def raptor_tree(spark, sf_dir):
 
 @query("chat_messages", "SELECT doc_id, 'Extract a graph.' AS system, left(text, 200) AS user_text, CASE WHEN length(text) < 600 THEN 'short' WHEN length(text) < 1500 THEN 'medium' ELSE 'long' END AS template FROM documents WHERE length(text) >= 50")
 def chat_messages(spark, sf_dir):
-    """D1, D2, D3, D18, K16."""
-    d = load(spark, sf_dir, "documents").filter(F.length("text") >= 50)
-    m = F.array(F.struct(F.lit("system").alias("role"), F.lit("Extract a graph.").alias("content")), F.struct(F.lit("user").alias("role"), F.substring("text", 1, 200).alias("content")))
+    """D1, D2, D3, D18, K16, on the first 200 characters like its SQL; ``chat_messages_whole`` has the whole text."""
+    return _messages(load(spark, sf_dir, "documents"), F.substring("text", 1, 200))
+
+
+@query("chat_messages_whole")
+def chat_messages_whole(spark, sf_dir):
+    """The user message holds the whole text."""
+    return _messages(load(spark, sf_dir, "documents"), F.col("text"))
+
+
+def _messages(d, text):
+    d = d.filter(F.length("text") >= 50)
+    m = F.array(F.struct(F.lit("system").alias("role"), F.lit("Extract a graph.").alias("content")), F.struct(F.lit("user").alias("role"), text.alias("content")))
     return d.select("doc_id", m.alias("m"), S.prompt_size(F.length("text")).alias("template")).select("doc_id", F.col("m")[0]["content"].alias("system"), F.col("m")[1]["content"].alias("user_text"), "template")
 
 
