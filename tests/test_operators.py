@@ -271,3 +271,19 @@ def test_whole_texts_reach_the_operators(spark, tmp_path):
     assert run("chat_messages_whole")["user_text"] == far
     assert run("rejection_detect_whole")["strength"] > run("rejection_detect")["strength"]
     assert run("context_overlap_whole")["precision"] == round(2 / 3, 6)
+
+
+def test_searches_cover_the_query_set(spark, sf_dir):
+    from weftgraph.plans.catalogue import QUERIES
+
+    v = {r["vec_id"]: [float(x) for x in r["embedding"]] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    want = {}
+    for q in v:
+        if q % 20 == 0:
+            want[q] = sorted(((-round(cos(v[q], v[i]), 6), i) for i in v if i != q))[:5]
+    got = {}
+    for r in QUERIES["knn_top5_all"](spark, sf_dir).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["item_id"]))
+    assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == {q: [i for _, i in x] for q, x in want.items()}
+    assert {r["query_id"] for r in QUERIES["knn_onehop_all"](spark, sf_dir).collect()} == set(want)

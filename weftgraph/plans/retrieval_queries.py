@@ -11,6 +11,7 @@ from ..operators import vectors as V
 from ..sources.tables import EDGES_SQL, edges, load, node_id
 from .registry import query
 from .text_queries import WORDS, _in
+from .vector_queries import QUERY_STEP
 
 _KW = f"""k AS (SELECT DISTINCT item_id AS qid, kw FROM (SELECT item_id, unnest(list_slice(list_distinct_ordered, 1, 4)) AS kw FROM (
  SELECT item_id, list_filter(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN list_position(w, w[i]) = i THEN w[i] END), lambda x: x IS NOT NULL) AS list_distinct_ordered FROM (
@@ -25,9 +26,16 @@ def keyword_documents(spark, sf_dir):
     return R.keyword_pass(q, load(spark, sf_dir, "documents")).select("qid", "doc_id", "hits")
 
 
-def _vector_hits(spark, sf_dir):
+@query("keyword_documents_all")
+def keyword_documents_all(spark, sf_dir):
+    """R1, R6 for the whole query set."""
+    q = load(spark, sf_dir, "benchmark").filter(F.col("item_id") % QUERY_STEP == 0).select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    return R.keyword_pass(q, load(spark, sf_dir, "documents")).select("qid", "doc_id", "hits")
+
+
+def _vector_hits(spark, sf_dir, asked="vec_id < 5"):
     e = load(spark, sf_dir, "embeddings")
-    near = V.knn(e.filter("vec_id < 5"), e, 5)
+    near = V.knn(e.filter(asked), e, 5)
     return near.select(F.col("query_id").alias("qid"), F.concat(F.lit("v"), F.col("item_id")).alias("node"), "score")
 
 
@@ -56,6 +64,19 @@ def hybrid_retrieval(spark, sf_dir):
     return R.hybrid(h, R.expand(h, _label_edges(spark, sf_dir))).select("qid", "node", "score", "pass")
 
 
+@query("retrieve_expand_all")
+def retrieve_expand_all(spark, sf_dir):
+    """R2, R3, B1 for the whole query set."""
+    return R.expand(_vector_hits(spark, sf_dir, f"vec_id % {QUERY_STEP} = 0"), _label_edges(spark, sf_dir))
+
+
+@query("hybrid_retrieval_all")
+def hybrid_retrieval_all(spark, sf_dir):
+    """R5, U2 for the whole query set."""
+    h = _vector_hits(spark, sf_dir, f"vec_id % {QUERY_STEP} = 0")
+    return R.hybrid(h, R.expand(h, _label_edges(spark, sf_dir))).select("qid", "node", "score", "pass")
+
+
 @query("graph_lookup", f"""WITH {EDGES_SQL}, l AS (SELECT src AS id, count(*) AS n FROM edges WHERE rel_type IN ('BASED_IN','LIVES_IN') GROUP BY 1), o AS (SELECT 'customer:'||o_custkey AS id, count(*) AS n FROM orders GROUP BY 1)
 SELECT 'customer:'||c_custkey AS id, coalesce(l.n,0) AS n_links, coalesce(o.n,0) AS n_episodes, c_nationkey AS community FROM customer LEFT JOIN l ON l.id = 'customer:'||c_custkey LEFT JOIN o ON o.id = 'customer:'||c_custkey""")
 def graph_lookup(spark, sf_dir):
@@ -69,7 +90,17 @@ def graph_lookup(spark, sf_dir):
 @query("rerank_stub")
 def rerank_stub(spark, sf_dir):
     """Keyword hits reordered by the stand-in scorer."""
-    b = load(spark, sf_dir, "benchmark").filter("item_id < 10").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    return _reranked(spark, sf_dir, "item_id < 10")
+
+
+@query("rerank_stub_all")
+def rerank_stub_all(spark, sf_dir):
+    """V13 for the whole query set."""
+    return _reranked(spark, sf_dir, f"item_id % {QUERY_STEP} = 0")
+
+
+def _reranked(spark, sf_dir, asked):
+    b = load(spark, sf_dir, "benchmark").filter(asked).select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
     docs = load(spark, sf_dir, "documents")
     hits = R.keyword_pass(b, docs, limit=10)
     return R.rerank(hits.join(b, "qid").join(docs.select("doc_id", "text"), "doc_id")).select("qid", "doc_id", "rerank_score", "rank")

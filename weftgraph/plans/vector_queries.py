@@ -11,6 +11,9 @@ from ..operators import vectors as V
 from ..sources.tables import load
 from .registry import query
 
+#: Rows with an id divisible by this are the query set of the searches named ..._all.
+QUERY_STEP = 20
+
 COS = "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
 
 
@@ -30,6 +33,20 @@ def knn_threshold(spark, sf_dir):
     return V.knn(e.filter("vec_id < 50"), e, 1).filter("score > 0.3").select("query_id", "item_id", "score")
 
 
+@query("knn_top5_all")
+def knn_top5_all(spark, sf_dir):
+    """V2, V4, O1 for the whole query set: every id divisible by QUERY_STEP."""
+    e = load(spark, sf_dir, "embeddings")
+    return V.knn(e.filter(F.col("vec_id") % QUERY_STEP == 0), e, 5)
+
+
+@query("knn_threshold_all")
+def knn_threshold_all(spark, sf_dir):
+    """V3 for the whole query set."""
+    e = load(spark, sf_dir, "embeddings")
+    return V.knn(e.filter(F.col("vec_id") % QUERY_STEP == 0), e, 1).filter("score > 0.3").select("query_id", "item_id", "score")
+
+
 @query("similar_pairs", f"SELECT a.vec_id AS a, b.vec_id AS b, {COS} AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {COS} >= 0.3")
 def similar_pairs(spark, sf_dir):
     """J18, V5."""
@@ -123,8 +140,17 @@ l AS (SELECT i.vec_id AS item_id, o.vec_id AS other FROM embeddings i JOIN embed
 SELECT query_id, k.item_id, score, rank, count(other) AS n_links, coalesce(string_agg(CAST(other AS VARCHAR), ',' ORDER BY other), '') AS linked FROM k LEFT JOIN l USING(item_id) GROUP BY 1, 2, 3, 4""")
 def knn_onehop(spark, sf_dir):
     """Nearest neighbours with their links."""
-    e = load(spark, sf_dir, "embeddings")
-    near = V.knn(e.filter("vec_id < 10"), e, 5)
+    return _onehop(load(spark, sf_dir, "embeddings"), F.col("vec_id") < 10)
+
+
+@query("knn_onehop_all")
+def knn_onehop_all(spark, sf_dir):
+    """R3, J3 for the whole query set."""
+    return _onehop(load(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_STEP == 0)
+
+
+def _onehop(e, asked):
+    near = V.knn(e.filter(asked), e, 5)
     i, o = e.select(F.col("vec_id").alias("item_id"), "label"), e.select(F.col("vec_id").alias("other"), "label")
     links = i.join(near.select("item_id").distinct(), "item_id", "left_semi").join(o, "label").filter((F.col("item_id") != F.col("other")) & (F.abs(F.col("item_id") - F.col("other")) <= 25))
     got = links.groupBy("item_id").agg(F.array_sort(F.collect_list("other")).alias("o"))
