@@ -6,6 +6,8 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables made by :func:`materialize` inside the open scopes, innermost last.
+_SCOPES: list[list[DataFrame]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 
@@ -38,16 +44,41 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(out)
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A scope that deletes the tables made in it at its end, but for those given to
+    the function it yields (they pass to the scope around it)."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _SCOPES.append(made)
+    try:
+        yield keep
+    finally:
+        _SCOPES.pop()
+        paths = {df.scratch_path for df in kept}
+        drop_scratch(*[df for df in made if df.scratch_path not in paths])
+        if _SCOPES:
+            _SCOPES[-1].extend(df for df in made if df.scratch_path in paths)
 
 
 def drop_scratch(*tables: DataFrame) -> None:
     """Delete the files behind tables made by :func:`materialize`, once nothing reads them."""
     for df in tables:
         spark = df.sparkSession
-        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
