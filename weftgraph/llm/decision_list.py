@@ -7,10 +7,13 @@ information gain on two thirds of the sample, pruned on the rest, kept while it
 is right often enough, and the documents it covers leave the sample. The list
 becomes one ordered Spark conditional expression that rejects what a rule covers.
 
-Null text has no words; documents under ten words or with too many repeated
-words fail the base rule; repeated rows get the same verdict each; without
-labels of both kinds the list is empty and only the base rule rejects; an empty
-table gives no rows.
+Null or empty text has no words; documents under ten words or with too many
+repeated words fail the base rule; a very long text is counted in stretches of
+bounded size; repeated rows get the same verdict each; of rows that share a
+labelled id the least in their statistics is learned from; of rules, tests and
+thresholds of equal worth the first in order of name, direction and value wins;
+without labels of both kinds the list is empty and only the base rule rejects;
+extra columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
-from .texthash import windows, word_hashes
+from .texthash import STRETCH, windows, word_hashes
 
 # Characters counted as symbols, window length, base limits.
 SYMBOLS = "#*$%&|<>"
@@ -62,7 +65,7 @@ def text_stats(text: str) -> tuple[int, ...]:
     raw = text.encode("utf-8", "surrogatepass")
     words = word_hashes(raw)
     b = np.frombuffer(raw, dtype=np.uint8)
-    counts = np.bincount(b, minlength=128)
+    counts = sum(np.bincount(b[i : i + STRETCH], minlength=256) for i in range(0, max(1, len(b)), STRETCH))
     lines = [x for x in text.split("\n") if x.strip(SPACES)]
     spaces = int(counts[32] + counts[9:14].sum())
     return (
@@ -206,7 +209,8 @@ def train(counted: DataFrame, sample: DataFrame, id_col: str = "doc_id") -> list
     rows = (
         counted.join(F.broadcast(sample), id_col)
         .select("__wg_h", (F.col("__wg_label") == 0).alias("bad"), *[c.alias(n) for n, c in features().items()])
-        .dropDuplicates(["__wg_h"]).orderBy("__wg_h").toPandas()
+        # Of rows that share a labelled id the least counts, whatever their order.
+        .groupBy("__wg_h").agg(F.min(F.struct("bad", *FEATURES)).alias("m")).select("__wg_h", "m.*").orderBy("__wg_h").toPandas()
     )
     bad = rows["bad"].to_numpy(dtype=bool)
     if not bad.any() or bad.all():

@@ -18,6 +18,8 @@ LOWER_TABLE[65:91] = TABLE[97:123]
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 2**64)
 GRAM = _rng.integers(1, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
+#: Bytes of text that are hashed at once; the arrays take about 50 bytes for each.
+STRETCH = 1 << 20
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -48,7 +50,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(raw: bytes, lower: bool = False) -> np.ndarray:
+    """The hashes of a text's words, in order. Long texts go in stretches that end
+    between words; a word's hash does not depend on its place."""
     b = np.frombuffer(raw, dtype=np.uint8)
+    if len(b) <= STRETCH:
+        return _word_hashes(b, lower)
+    parts, at = [], 0
+    while at < len(b):
+        end = at + STRETCH
+        while end < len(b) and not (spaces := IS_SPACE[b[end : end + 4096]]).any():
+            end += 4096
+        if end < len(b):
+            end += int(spaces.argmax())
+        parts.append(_word_hashes(b[at:end], lower))
+        at = end
+    return np.concatenate(parts)
+
+
+def _word_hashes(b: np.ndarray, lower: bool) -> np.ndarray:
     if not len(b):
         return np.empty(0, dtype=np.uint64)
     inside = ~IS_SPACE[b]
