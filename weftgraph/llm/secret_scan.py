@@ -1,16 +1,21 @@
 """Secret scans: fixed patterns plus a token-efficiency test.
 
 Ordinary words cost few tokens per character under a byte-level vocabulary;
-random strings cost many. A run of key-like characters whose characters per
-token fall below a limit is reported as kind ``random``, unless it is a known
-digest form (hex of a usual digest length, UUID) or an identifier (words joined
-by ``_ - / .``), or lies inside a span of the fixed patterns. Of a run that
-passes as a whole, the parts are tested: those between separators, and the
-stretches of tokens that are shorter than the limit on the whole, so cheap words
-around a random string (a path, a key name) do not hide it.
-
-Every text is scanned whole. Null text counts as empty; repeated rows give
-repeated results; extra columns are ignored; an empty table gives an empty one.
+random strings cost many. A run of at least ``MIN_RANDOM`` key-like characters
+whose characters per token fall below a limit is reported as kind ``random``,
+whatever characters it is made of, unless it is a known digest form (hex of a usual
+digest length, UUID) or lies inside a span of the fixed patterns. Identifiers
+(words of one case and short numbers, joined by ``_ - / + =``) are excluded as a
+whole; only a long word of theirs that costs far more tokens than words do
+(``MAX_WORD_RATIO`` and ``MAX_LONG_WORD_RATIO``) is reported, by itself. Of a run that passes as a whole, the
+parts are tested in the same way: those between separators, and the stretches of
+tokens that are shorter than the limit on the whole, so cheap words around a random
+string (a path, a key name) do not hide it.
+
+Every text is scanned whole, however long. Null text counts as empty; a text of
+equal spans in two kinds lists both, by start and then kind; repeated rows give
+repeated results; columns besides id and text are ignored, whatever their names; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 MIN_ASSIGN, MIN_ACCESS = 12, 18
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.I | re.A)
 UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I | re.A)
 IDENTIFIER = re.compile(r"[+/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[+/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[+/_=-]*")
@@ -45,9 +50,12 @@ IDENTIFIER = re.compile(r"[+/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[+/_=-]+(
 KNOWN = re.compile(rf"(?<![A-Za-z0-9])(?:{UUID.pattern}|{DIGEST.pattern})(?![A-Za-z0-9])", re.I | re.A)
 SEPARATORS = "+/_=-"
 PART = re.compile(r"[A-Za-z0-9]+")
-MIN_RANDOM = 20
-#: Characters per token under which a candidate counts as random.
+MIN_RANDOM = 16
+#: Characters per token under which a candidate counts as random, and a word of one case.
 MAX_RATIO = 2.0
+MAX_WORD_RATIO = 1.7
+#: From this length on words of one case vary less, and the limit is higher.
+LONG_WORD, MAX_LONG_WORD_RATIO = 20, 1.85
 
 _ENC: dict = {}
 
@@ -66,10 +74,14 @@ def _encoding(path: str):
 
 
 def is_random(run: str, enc, max_ratio: float = MAX_RATIO) -> bool:
-    if not any(c.isalpha() for c in run):
-        return False
-    if DIGEST.fullmatch(run) or UUID.fullmatch(run) or IDENTIFIER.fullmatch(run):
+    """Whether a run that is no digest costs too many tokens. A single word of one
+    case has to meet the stricter limit; identifiers of several words do not count."""
+    if DIGEST.fullmatch(run) or UUID.fullmatch(run):
         return False
+    if IDENTIFIER.fullmatch(run):
+        if not run.isalnum():
+            return False
+        max_ratio = min(max_ratio, MAX_LONG_WORD_RATIO if len(run) >= LONG_WORD else MAX_WORD_RATIO)
     return len(run) < max_ratio * len(enc.encode_ordinary(run))
 
 
@@ -98,7 +110,8 @@ def dense_stretches(run: str, enc, max_ratio: float = MAX_RATIO) -> list[tuple[i
 def random_parts(run: str, enc, max_ratio: float = MAX_RATIO) -> list[tuple[int, int]]:
     """The spans of ``run`` that are random by themselves, overlaps merged."""
     if IDENTIFIER.fullmatch(run):
-        return []
+        spans = (m.span() for m in PART.finditer(run))
+        return [(s, e) for s, e in spans if e - s >= MIN_RANDOM and is_random(run[s:e], enc, max_ratio)]
     found = []
     edges = [0, *(x for m in KNOWN.finditer(run) for x in m.span()), len(run)]
     for lo, hi in zip(edges[::2], edges[1::2]):
