@@ -1,16 +1,21 @@
 """HTML extraction: flat text blocks classified by a decision tree.
 
 A page is cut into blocks at block-level tags. Every block has the number of its
-words, its link density, the same of the blocks before and after it, and where
-it stands (in an element that by its tag or class holds no main text, beside or
-inside the page's article or main element or, failing these, an element named
-like one, or on a page without any). A classification tree, grown here on
-the small labelled table below, tells main text from the rest; the kept blocks
-are joined in page order.
-
-Null html is an empty page; pages without main text give an empty string; cut
-off pages are read as far as they go; nothing is capped, repeated rows give
-repeated results, extra columns are ignored, an empty table gives an empty one.
+words, its link density and the same of the blocks before and after it. Besides
+these the tree sees how an element around the block is marked (by a tag or a name
+that holds no main text, by a name with a part that often does, or not at all),
+whether the block is a heading, whether it lies in the page's article or main
+element (or, failing these, an element named like one), and which share of the
+page's plain words lies there, so that a teaser in an article element does not
+stand for a page whose text is beside it. A classification tree, grown here on the
+small labelled table below, tells main text from the rest; the kept blocks are
+joined in page order.
+
+Null or empty html is an empty page; pages without main text give an empty string;
+cut off pages are read as far as they go; very long pages are read whole and
+nothing is capped; equal blocks are each kept in their place; repeated rows give
+repeated results, extra columns are ignored, whatever their names; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -46,13 +51,18 @@ CONTAINER = frozenset(
     "article aside blockquote body details dialog div dl fieldset figure footer form header label li main menu nav ol p section span table td th tr ul a button".split()
 )
 BOILER_TAGS = frozenset("aside button dialog fieldset footer form head label menu nav".split())
-BOILER_WORDS = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising banner billboard breadcrumb breadcrumbs byline-share comment comments "
-    "consent cookie cookies copyright disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter "
-    "notice notices pager paginate pagination popup promo promoted promotion recommend recommended related reply replies respond rss "
-    "search share sharing shoutbox sidebar signin signup skip social sponsor sponsored subscribe subscription tagcloud toc toolbar "
-    "topbar widget alert announcement disclaimer complementary contentinfo dialog alertdialog usercomments".split()
+# Names that hold no main text, as a whole name or as a part of one.
+BOILER_PARTS = frozenset(
+    "ad ads adbox adslot advert adverts advertisement advertising alert alertdialog announcement banner billboard breadcrumb breadcrumbs "
+    "comment comments complementary consent contentinfo cookie cookies copyright disclaimer disqus footer gdpr login masthead menu menubar "
+    "nav navbar navigation newsletter notice notices pager paginate pagination popup promo promoted promotion recommended shoutbox sidebar "
+    "signin signup sponsor sponsored subscribe subscription tagcloud usercomments".split()
 )
+# Names that do so as a whole, and as a part only in some cases.
+BOILER_NAMES = frozenset(
+    "dialog header modal recommend recommendations related replies reply respond rss search share sharing skip social toc toolbar topbar widget".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN_TAGS = frozenset(("article", "main"))
 #: Names of plain elements that hold the text of a page without such an element.
 MAIN_WORDS = frozenset("article articlebody body content entry main maincontent post story text".split())
@@ -69,34 +79,42 @@ class Block:
     link_words: int
     main: bool
     named: bool
-    boiler: bool
+    marked: int
+    heading: bool
 
 
 def _value(m: re.Match) -> str:
     return m.group(1) or m.group(2) or m.group(3) or ""
 
 
-def _is_boiler(tag: str, attrs: str, in_main: bool) -> bool:
+def _mark(tag: str, attrs: str, in_main: bool) -> int:
+    """How an element is marked: 2 holds no main text, 1 may hold none, 0 not at all."""
     if tag in BOILER_TAGS or (tag == "header" and not in_main):
-        return True
+        return 2
     if not attrs:
-        return False
+        return 0
     if HIDDEN.search(attrs):
-        return True
+        return 2
+    out = 0
     for m in HINT.finditer(attrs):
         for name in _value(m).lower().split():
-            if name in BOILER_WORDS or any(p in BOILER_WORDS for p in re.split(r"[-_:]+", name)):
-                return tag not in MAIN_TAGS and tag not in ("body", "html") or "comment" in name or "related" in name or "promo" in name
-    return False
+            parts = re.split(r"[-_:]+", name)
+            if name in BOILER_NAMES or not BOILER_PARTS.isdisjoint(parts):
+                if tag not in MAIN_TAGS and tag not in ("body", "html") or "comment" in name or "related" in name or "promo" in name:
+                    return 2
+            elif not BOILER_NAMES.isdisjoint(parts):
+                out = 1
+    return out
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, character references decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, holds no main text, is main, is named so
+    stack: list[tuple[str, int, bool, bool]] = []  # tag, mark, is main, is named so
     parts: list[str] = []
     linked: list[str] = []
-    boiler = main = named = links = 0
+    main = named = links = heading = 0
+    marks = [0, 0, 0]
 
     def flush() -> None:
         nonlocal parts, linked
@@ -106,7 +124,7 @@ def blocks(page: str) -> list[Block]:
             if found:
                 text, n = " ".join(found), len(found)
                 m = len(html.unescape("".join(linked)).split()) if linked else 0
-                out.append(Block(text, n, min(m, n), main > 0, named > 0, boiler > 0))
+                out.append(Block(text, n, min(m, n), main > 0, named > 0, 2 if marks[2] else min(marks[1], 1), heading > 0))
         parts, linked = [], []
 
     def text(raw: str) -> None:
@@ -132,6 +150,11 @@ def blocks(page: str) -> list[Block]:
             flush()
         if tag == "a":
             links = 0 if closing else 1
+        elif tag in HEADINGS:
+            heading = 0 if closing else 1
+        elif heading and tag in BLOCK and tag != "br":
+            # A heading that was left open ends with the next block.
+            heading = 0
         if tag not in CONTAINER or attrs.endswith("/"):
             continue
         if closing:
@@ -140,24 +163,24 @@ def blocks(page: str) -> list[Block]:
                 if any(s[1] or s[2] or s[3] for s in stack[depth:]):
                     flush()
                 for _, b, a, c in stack[depth:]:
-                    boiler -= b
+                    marks[b] -= 1
                     main -= a
                     named -= c
                 del stack[depth:]
             continue
-        bad = _is_boiler(tag, attrs, main > 0)
+        bad = _mark(tag, attrs, main > 0)
         is_main = tag in MAIN_TAGS or (bool(attrs) and any(x.group(0)[:4].lower() == "role" and _value(x) in MAIN_ROLES for x in HINT.finditer(attrs)))
-        is_named = not bad and bool(attrs) and tag in NAMED_TAGS and any(
+        is_named = bad < 2 and bool(attrs) and tag in NAMED_TAGS and any(
             p in MAIN_WORDS for x in HINT.finditer(attrs) for p in re.split(r"[-_:\s]+", _value(x).lower()))
         if bad or is_main or is_named:
             flush()
         if tag == "p" and stack and stack[-1][0] == "p":
             # Often left open: a new paragraph ends the one before.
-            boiler -= stack.pop()[1]
+            marks[stack.pop()[1]] -= 1
         if tag in LOOSE and not bad:
             continue
         stack.append((tag, bad, is_main, is_named))
-        boiler += bad
+        marks[bad] += 1
         main += is_main
         named += is_named
     text(page[at:])
@@ -165,39 +188,68 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-FEATURES = ("place", "words", "link_density", "words_before", "links_before", "words_after", "links_after")
-#: Where a block stands: in an element without main text, beside the page's main
-#: element, on a page that has none, inside the main element.
-HELD_OUT, BESIDE, PLAIN, INSIDE = range(4)
-
-# The labelled table: blocks of small pages read by hand. Columns as FEATURES, then 1 for main text.
-LABELLED = (
-    # news page with an article element: menu, banner, headline, paragraphs, caption, footer
-    (0, 6, 1.0, 0, 0.0, 9, 0.0, 0), (0, 9, 0.0, 6, 1.0, 7, 0.0, 0), (3, 7, 0.0, 9, 0.0, 48, 0.02, 1), (3, 48, 0.02, 7, 0.0, 65, 0.0, 1),
-    (3, 65, 0.0, 48, 0.02, 2, 0.0, 1), (3, 2, 0.0, 65, 0.0, 30, 0.1, 1), (3, 30, 0.1, 2, 0.0, 5, 0.0, 1), (3, 5, 0.0, 30, 0.1, 12, 0.0, 1),
-    (0, 12, 0.0, 5, 0.0, 0, 0.0, 0), (3, 1, 0.0, 35, 0.0, 1, 0.0, 1), (3, 3, 1.0, 20, 0.0, 40, 0.0, 1), (3, 14, 1.0, 20, 0.0, 40, 0.0, 1),
-    (3, 5, 0.0, 30, 0.0, 0, 0.0, 1), (3, 2, 0.0, 10, 1.0, 0, 0.0, 1), (3, 10, 1.0, 9, 1.0, 8, 1.0, 1), (3, 4, 0.0, 3, 1.0, 2, 0.0, 1),
-    (3, 12, 0.9, 14, 0.9, 3, 0.0, 1), (3, 3, 0.0, 2, 1.0, 4, 1.0, 1), (3, 1, 0.0, 0, 0.0, 0, 0.0, 1), (3, 7, 0.0, 6, 0.0, 0, 0.0, 1),
-    (3, 80, 0.0, 0, 0.0, 0, 0.0, 1), (3, 6, 0.0, 6, 1.0, 4, 0.0, 1), (3, 4, 0.0, 6, 0.0, 9, 0.0, 1), (3, 2, 0.5, 3, 0.0, 8, 0.0, 1),
-    # the same site: share bar and reader comments inside the article element, and named notices around it
-    (0, 5, 1.0, 40, 0.0, 22, 0.0, 0), (0, 22, 0.0, 5, 1.0, 35, 0.0, 0), (0, 35, 0.0, 22, 0.0, 10, 0.2, 0), (0, 30, 0.0, 28, 0.0, 44, 0.0, 0),
-    (0, 60, 0.0, 44, 0.0, 8, 0.0, 0), (0, 120, 0.0, 50, 0.0, 60, 0.0, 0), (0, 8, 0.0, 20, 0.0, 31, 0.0, 0), (0, 15, 0.0, 60, 0.0, 0, 0.0, 0),
-    # text beside an article element, without a telling name
-    (1, 18, 0.0, 60, 0.0, 6, 1.0, 0), (1, 40, 0.0, 60, 0.0, 25, 0.0, 0), (1, 4, 0.0, 0, 0.0, 52, 0.0, 0), (1, 8, 0.9, 30, 0.0, 9, 1.0, 0),
-    (1, 55, 0.0, 0, 0.0, 60, 0.0, 0), (1, 25, 0.3, 10, 0.0, 0, 0.0, 0), (1, 90, 0.0, 30, 0.0, 70, 0.0, 0), (1, 33, 0.1, 40, 0.0, 12, 0.0, 0),
-    # blog and help pages of plain elements: links, posts, teasers, sign-off
-    (2, 4, 1.0, 0, 0.0, 5, 1.0, 0), (2, 5, 1.0, 4, 1.0, 6, 0.0, 0), (2, 6, 0.0, 5, 1.0, 52, 0.0, 1), (2, 52, 0.0, 6, 0.0, 38, 0.05, 1),
-    (2, 38, 0.05, 52, 0.0, 9, 0.0, 1), (2, 9, 0.0, 38, 0.05, 71, 0.0, 1), (2, 71, 0.0, 9, 0.0, 3, 1.0, 1), (2, 3, 1.0, 71, 0.0, 4, 1.0, 0),
-    (2, 4, 1.0, 3, 1.0, 7, 0.0, 0), (2, 7, 0.0, 4, 1.0, 0, 0.0, 0), (2, 2, 1.0, 3, 1.0, 2, 1.0, 0), (2, 19, 0.1, 6, 0.0, 24, 0.0, 1),
-    (2, 24, 0.0, 19, 0.1, 16, 0.0, 1), (2, 16, 0.0, 24, 0.0, 33, 0.0, 1), (2, 33, 0.6, 4, 1.0, 5, 1.0, 0), (2, 28, 0.0, 11, 0.0, 44, 0.0, 1),
-    (2, 44, 0.0, 28, 0.0, 90, 0.0, 1), (2, 90, 0.0, 44, 0.0, 20, 0.0, 1), (2, 3, 0.0, 28, 0.0, 44, 0.0, 1), (2, 26, 0.0, 0, 0.0, 0, 0.0, 1),
-    (2, 2, 0.0, 40, 0.0, 25, 0.0, 1), (2, 4, 0.0, 0, 0.0, 60, 0.0, 1), (2, 8, 0.0, 31, 0.0, 47, 0.0, 1), (2, 3, 0.0, 2, 1.0, 18, 0.0, 1), (2, 13, 0.0, 22, 0.0, 12, 0.0, 1), (2, 13, 0.0, 20, 0.0, 3, 0.0, 1), (2, 10, 0.0, 40, 0.0, 4, 0.0, 1),
-    # link lists and lone lines without main text
-    (2, 1, 1.0, 1, 1.0, 1, 1.0, 0), (2, 12, 0.8, 2, 1.0, 14, 0.9, 0), (2, 14, 0.9, 12, 0.8, 3, 0.0, 0), (2, 3, 0.0, 14, 0.9, 0, 0.0, 0),
-    (2, 4, 0.0, 3, 1.0, 2, 0.0, 0), (2, 2, 0.0, 4, 0.0, 5, 1.0, 0), (2, 6, 0.0, 2, 1.0, 3, 0.0, 0), (2, 5, 0.0, 5, 0.0, 0, 0.0, 0),
+FEATURES = ("marked", "heading", "inside", "share", "words", "link_density", "words_before", "links_before", "words_after", "links_after")
+
+# The labelled table, from blocks of small pages read by hand. What stands around a block
+# is one of a few kinds of surroundings (words and link density of the block before, then of
+# the block after); a row gives the kinds in which a block of its shape was read.
+AROUND = {
+    "text": ((40, 0.0, 35, 0.0), (60, 0.02, 20, 0.0), (12, 0.0, 52, 0.05), (25, 0.0, 3, 0.0), (3, 0.0, 30, 0.0), (7, 0.0, 70, 0.0)),
+    "links": ((2, 1.0, 3, 1.0), (5, 1.0, 4, 1.0), (1, 1.0, 1, 1.0), (14, 0.9, 12, 0.8)),
+    "then links": ((30, 0.0, 3, 1.0), (48, 0.1, 6, 1.0), (70, 0.0, 1, 1.0)),
+    "after links": ((4, 1.0, 25, 0.0), (6, 1.0, 50, 0.05), (1, 1.0, 60, 0.0)),
+    "edge": ((0, 0.0, 0, 0.0), (0, 0.0, 20, 0.0), (35, 0.0, 0, 0.0)),
+    "lines": ((4, 0.0, 5, 0.0), (3, 0.0, 2, 0.0), (6, 0.0, 0, 0.0)),
+}
+EVERY = tuple(AROUND)
+NEAR_LINKS = ("links", "then links", "after links")
+# marked, heading, inside, shares, words, link densities, surroundings, 1 for main text
+SHAPES = (
+    # menus, adverts, notices, share bars, reader comments, footers: by tag or name, in or beside the article
+    (2, 0, 0, (0.0, 0.9), (1, 9, 30, 120), (0.0, 0.3, 1.0), EVERY, 0), (2, 0, 1, (0.9,), (1, 9, 30, 120), (0.0, 0.3, 1.0), EVERY, 0),
+    (2, 1, 0, (0.0, 0.9), (2, 6), (0.0, 1.0), EVERY, 0), (2, 1, 1, (0.9,), (2, 6), (0.0, 1.0), EVERY, 0),
+    # inside the article: headings, paragraphs of any length, single links between paragraphs, lists of linked titles
+    (0, 1, 1, (0.1, 0.9), (1, 3, 7), (0.0, 1.0), EVERY, 1), (0, 0, 1, (0.1, 0.5, 0.9), (1, 2, 5, 12, 30, 80), (0.0, 0.1, 0.3), EVERY, 1),
+    (0, 0, 1, (0.9,), (2, 4, 12), (0.5,), ("text", "edge"), 1), (0, 0, 1, (0.5, 0.9), (1, 2, 3, 8, 14), (1.0,), ("text", "edge"), 1),
+    (0, 0, 1, (0.5, 0.9), (8, 14), (1.0,), NEAR_LINKS, 1),
+    # inside the article: rows of short links
+    (0, 0, 1, (0.5, 0.9), (1, 2, 3), (1.0,), NEAR_LINKS, 0),
+    # elements with a doubtful name inside the article: titles and sections, then bylines, buttons and lists of links
+    (1, 1, 1, (0.5, 0.9), (1, 3, 8), (0.0,), EVERY, 1), (1, 0, 1, (0.5, 0.9), (9, 18, 41, 90), (0.0, 0.1, 0.3), EVERY, 1),
+    (1, 0, 1, (0.5, 0.9), (1, 3, 6), (0.0, 0.3), EVERY, 0), (1, 0, 1, (0.5, 0.9), (1, 6, 12, 30), (0.8, 1.0), EVERY, 0),
+    # the same on pages without an article, and beside one
+    (1, 1, 0, (0.0,), (3, 6), (0.0,), ("text", "after links"), 1), (1, 1, 0, (0.0,), (2, 5), (0.0,), ("links", "then links", "lines"), 0),
+    (1, 0, 0, (0.0, 0.2), (22, 33, 64), (0.0, 0.2), EVERY, 1), (1, 0, 0, (0.0, 0.2), (1, 5, 12), (0.0, 0.2), EVERY, 0),
+    (1, 0, 0, (0.0, 0.2), (5, 12, 30), (0.8, 1.0), EVERY, 0), (1, 0, 0, (0.7, 0.9), (4, 20, 40), (0.0, 1.0), EVERY, 0), (1, 1, 0, (0.7, 0.9), (3, 6), (0.0,), EVERY, 0),
+    # without a telling name, beside an article that holds most of the page's text
+    (0, 0, 0, (0.6, 0.9), (2, 8, 18, 40, 90), (0.0, 0.1, 0.3, 1.0), EVERY, 0), (0, 1, 0, (0.6, 0.9), (2, 6), (0.0, 1.0), EVERY, 0),
+    # pages of plain elements: paragraphs and headings
+    (0, 0, 0, (0.0,), (19, 28, 60, 120), (0.0, 0.1, 0.3), EVERY, 1), (0, 0, 0, (0.0,), (28, 60), (0.4,), EVERY, 1),
+    (0, 0, 0, (0.0,), (13, 16), (0.0, 0.1), ("text", "then links", "after links", "edge", "lines"), 1),
+    (0, 0, 0, (0.0,), (1, 2, 5, 9), (0.0, 0.1), ("text", "edge", "lines"), 1), (0, 1, 0, (0.0,), (1, 4, 8, 14), (0.0,), ("text", "after links", "edge", "lines"), 1),
+    # such pages: link lists, lone lines between them, sign-offs
+    (0, 0, 0, (0.0, 0.2), (1, 4, 12, 30), (0.6, 0.8, 1.0), EVERY, 0), (0, 0, 0, (0.0, 0.2), (2, 5, 9), (0.0, 0.1), ("links", "then links"), 0),
+    (0, 0, 0, (0.0, 0.2), (13, 16), (0.0,), ("links",), 0), (0, 1, 0, (0.0, 0.2), (2, 5), (0.0, 1.0), ("links",), 0),
+    (0, 0, 0, (0.0, 0.2), (2, 5), (0.0,), ("after links",), 0),
+    # pages with no more than a teaser in the article element: long text beside it and what stands within that, not lone lines
+    (0, 0, 0, (0.1, 0.35), (19, 28, 60, 120), (0.0, 0.1, 0.3), EVERY, 1), (0, 0, 0, (0.1, 0.35), (1, 2, 5, 9, 16), (0.0, 0.1), ("text",), 1),
+    (0, 1, 0, (0.1, 0.35), (1, 4, 8), (0.0,), ("text", "after links"), 1), (0, 0, 0, (0.1, 0.35), (1, 2, 5, 9, 16), (0.0, 0.1), ("edge", "lines"), 0),
+    (0, 1, 0, (0.1, 0.35), (1, 4, 8), (0.0,), ("edge", "lines"), 0),
 )
 
 
+def expand(shapes) -> tuple[tuple[float, ...], ...]:
+    """The rows of the table that ``shapes`` stand for: the features and the label."""
+    return tuple(
+        (mark, heading, inside, share, words, density, *around, label)
+        for mark, heading, inside, shares, lengths, densities, kinds, label in shapes
+        for share in shares for words in lengths for density in densities for kind in kinds for around in AROUND[kind]
+    )
+
+
+LABELLED = expand(SHAPES)
+
+
 @dataclass
 class Node:
     """A test ``x[feature] <= limit`` with two branches, or a leaf."""
@@ -209,7 +261,7 @@ class Node:
     value: bool = False
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1) -> Node:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 14, least: int = 1) -> Node:
     """A classification tree by Gini impurity; ties to the earlier feature and lower limit."""
     leaf = Node(value=bool(2 * y.sum() >= len(y)))
     if depth == 0 or y.all() or not y.any():
@@ -246,14 +298,15 @@ def classify(tree: Node, x: tuple[float, ...]) -> bool:
 
 
 def vectors(found: list[Block]) -> list[tuple[float, ...]]:
-    by_tag = any(b.main and not b.boiler for b in found)
+    """The features of every block."""
+    by_tag = any(b.main and b.marked < 2 for b in found)
     inside = [b.main if by_tag else b.named for b in found]
-    has_main = any(i and not b.boiler for i, b in zip(inside, found))
+    plain = [b.words - b.link_words if b.marked < 2 else 0 for b in found]
+    share = sum(n for n, i in zip(plain, inside) if i) / max(1, sum(plain))
     shape = [(float(b.words), b.link_words / b.words if b.words else 0.0) for b in found]
     edge = (0.0, 0.0)
     return [
-        (float(HELD_OUT if b.boiler else INSIDE if inside[i] else BESIDE if has_main else PLAIN),
-         *shape[i], *(shape[i - 1] if i else edge), *(shape[i + 1] if i + 1 < len(shape) else edge))
+        (float(b.marked), float(b.heading), float(inside[i]), share, *shape[i], *(shape[i - 1] if i else edge), *(shape[i + 1] if i + 1 < len(shape) else edge))
         for i, b in enumerate(found)
     ]
 
