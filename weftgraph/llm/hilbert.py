@@ -7,11 +7,14 @@ runs. Neighbouring cells of the curve are neighbours in every dimension, so a
 shard covers a compact box and its minima and maxima prune files.
 
 The law is ``rows``: the n-th row of the order goes to shard n * shards // rows,
-so counts differ by at most one whatever the data. Ties within a cell go by a
-hash of the id and the id. Ranks are counted from the sizes of the sorted range
+so counts differ by at most one whatever the data. Ties within a cell go by the
+checksum of the text, so that equal texts of a cell stand together (a shard's end
+may still part them), then by a hash of the id and the id. Ranks are counted from the sizes of the sorted range
 partitions, kept as a narrow table in the shared folder; no task sees the whole
-order. Null ids, nulls in any dimension and null text (no bytes) are values like
-any other; repeated rows get slots of their own; an empty table gives no rows.
+order. Null ids, nulls in any dimension and null or empty text (no bytes) are
+values like any other; a very long text counts by its size alone; repeated rows get
+slots of their own; extra columns are ignored, whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scratch
 
 BITS = 5
 SHARDS = 40
@@ -59,14 +62,20 @@ def hilbert_index(df: DataFrame, dims: list[str], bits: int, out: str) -> DataFr
     return df.withColumn(out, index).drop(*x, "__wg_flip")
 
 
-def _steps(df: DataFrame, dim: str, bits: int) -> DataFrame:
+def _steps(df: DataFrame, dim: str, bits: int, partitions: int) -> DataFrame:
     """(value, step): steps of equal shares of the rows, in order of the value.
-    One row per distinct value, counted before the shuffle."""
-    counts = df.groupBy(dim).agg(F.count("*").alias("n"))
-    w = Window.orderBy(F.col(dim).asc_nulls_first())
-    total = F.sum("n").over(Window.partitionBy())
-    before = F.sum("n").over(w) - F.col("n")
-    return counts.select(F.col(dim).alias(f"__wg_v_{dim}"), F.floor((before * (1 << bits)) / total).cast("long").alias(f"__wg_q_{dim}"))
+    One row per distinct value, counted before the shuffle; the shares are summed
+    up range by range, so that no task sees all the values."""
+    counts = df.groupBy(F.col(dim).alias("v")).agg(F.count("*").alias("n"))
+    ranged = counts.repartitionByRange(partitions, F.col("v").asc_nulls_first()).select("v", "n", F.spark_partition_id().alias("p"))
+    ranged = materialize(ranged, "hilbert-values")
+    # One row per range.
+    ranges = ranged.groupBy("p").agg(F.sum("n").alias("m"))
+    ahead = ranges.select("p", (F.sum("m").over(Window.orderBy("p")) - F.col("m")).alias("ahead"), F.sum("m").over(Window.partitionBy()).alias("total"))
+    before = F.col("ahead") + F.sum("n").over(Window.partitionBy("p").orderBy(F.col("v").asc_nulls_first())) - F.col("n")
+    return ranged.join(F.broadcast(ahead), "p").select(
+        F.col("v").alias(f"__wg_v_{dim}"), F.floor((before * (1 << bits)) / F.col("total")).cast("long").alias(f"__wg_q_{dim}")
+    )
 
 
 def shard(
@@ -82,24 +91,25 @@ def shard(
         F.col(id_col).alias("id"), size.alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc"),
         *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(categories)],
     )
-    # A narrow table (no text), read three times below.
-    plain = materialize(plain, "hilbert-metadata")
-    # Sizes fall into classes of a quarter of a power of two: a bounded set of values.
-    plain = plain.withColumn("z", F.floor(F.log2(F.col("size").cast("double")) * 4).cast("long"))
-    dims = [f"c{i}" for i in range(len(categories))] + ["z"]
-    placed = plain
-    for d in dims:
-        steps = _steps(plain, d, bits)
-        placed = placed.join(steps, F.col(d).eqNullSafe(F.col(f"__wg_v_{d}"))).drop(f"__wg_v_{d}")
-    indexed = hilbert_index(placed, [f"__wg_q_{d}" for d in dims], bits, "h")
-    order = ["h", "tie", "id", "size", "crc"]
-    ranged = (
-        indexed.select("id", "size", "crc", "h", F.xxhash64("id").alias("tie"))
-        .repartitionByRange(partitions, *order)
-        .sortWithinPartitions(*order)
-        .select("id", "size", "crc", F.monotonically_increasing_id().alias("at"))
-    )
-    ranged = materialize(ranged, "hilbert-order")
+    with scratch() as keep:
+        # A narrow table (no text), read several times below.
+        plain = materialize(plain, "hilbert-metadata")
+        # Sizes fall into classes of a quarter of a power of two: a bounded set of values.
+        plain = plain.withColumn("z", F.floor(F.log2(F.col("size").cast("double")) * 4).cast("long"))
+        dims = [f"c{i}" for i in range(len(categories))] + ["z"]
+        placed = plain
+        for d in dims:
+            steps = _steps(plain, d, bits, partitions)
+            placed = placed.join(steps, F.col(d).eqNullSafe(F.col(f"__wg_v_{d}"))).drop(f"__wg_v_{d}")
+        indexed = hilbert_index(placed, [f"__wg_q_{d}" for d in dims], bits, "h")
+        order = ["h", "crc", "tie", "id", "size"]
+        ranged = (
+            indexed.select("id", "size", "crc", "h", F.xxhash64("id").alias("tie"))
+            .repartitionByRange(partitions, *order)
+            .sortWithinPartitions(*order)
+            .select("id", "size", "crc", F.monotonically_increasing_id().alias("at"))
+        )
+        ranged = keep(materialize(ranged, "hilbert-order"))
     part = F.shiftrightunsigned("at", 33)
     # One row per range partition.
     counts = ranged.groupBy(part.alias("p")).agg(F.count("*").alias("n"))
