@@ -13,10 +13,11 @@ roles and texts a backslash is doubled and every opening of a control string
 character; dropping one backslash before any character undoes both. The loss
 mask is a list of character spans, one per assistant turn.
 
-Null text or role counts as empty; turns of equal number are ordered by role
-and text; repeated rows are turns of their own; extra columns are ignored; an
-empty table gives no rows. A node whose parent is missing is a root; nodes on a
-cycle belong to no path.
+Null text or role counts as empty; a very long text is one turn whatever its
+length; turns of equal number are ordered by role and text; repeated rows are turns
+of their own; null conversation ids are one conversation; extra columns are
+ignored, whatever their names; an empty table gives no rows. A node whose parent is
+missing is a root; nodes on a cycle, or below one, belong to no path.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scratch
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: Openings that are broken up inside texts: this template's and other usual ones.
@@ -39,10 +40,12 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def best_paths(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
+def best_paths(nodes: DataFrame) -> DataFrame:
     """(tree, node, depth) of the best root-to-leaf path of every tree.
 
-    ``nodes`` has tree, node, parent (null for roots) and score (double).
+    ``nodes`` has tree, node, parent (null for roots) and score (double). After k
+    rounds the rows of all nodes less than 2**k steps from a root are done, so a
+    round that ends no row has none but those that lead into a cycle left.
     """
     base = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = base.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known")).distinct()
@@ -55,9 +58,11 @@ def best_paths(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
     state = materialize(state, "reply-jump")
     done = state.filter(F.col("anc").isNull())
     jumps = []
-    for _ in range(max_rounds):
+    left = None
+    while True:
         open_ = state.filter(F.col("anc").isNotNull())
-        if open_.isEmpty():
+        before, left = left, open_.count()
+        if left in (0, before):
             break
         jumps.append(open_)
         up = done.unionByName(open_).select(
@@ -138,10 +143,12 @@ def chat(conversations: DataFrame) -> DataFrame:
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     order = Window.partitionBy("tree").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    rows = materialize(rows.withColumn("node", F.row_number().over(order).cast("long")).drop("turn"), "reply-turns")
-    nodes = rows.select(
-        "tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"),
-        F.when(F.col("role") == "assistant", F.length("text")).otherwise(0).cast("double").alias("score"),
-    )
-    chosen = rows.join(best_paths(nodes), ["tree", "node"])
-    return read_back(materialize(format_conversations(chosen), "formatted-conversations"))
+    with scratch() as keep:
+        rows = materialize(rows.withColumn("node", F.row_number().over(order).cast("long")).drop("turn"), "reply-turns")
+        nodes = rows.select(
+            "tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"),
+            F.when(F.col("role") == "assistant", F.length("text")).otherwise(0).cast("double").alias("score"),
+        )
+        chosen = rows.join(best_paths(nodes), ["tree", "node"])
+        written = keep(materialize(format_conversations(chosen), "formatted-conversations"))
+    return read_back(written)
