@@ -20,10 +20,11 @@ compared pair by pair, without a cap; a pair is left out only where the bitmap
 shows one side too far from a leader (Jaccard distance is a metric) that the
 other is linked to.
 
-Null or wordless text has an empty set and links with nothing; equal texts link
-with each other; rows repeated in the input get the same component; null ids do
-not become a component's id unless it has no other; extra columns are ignored;
-an empty table gives no rows.
+Null, empty or wordless text has an empty set and links with nothing; a very long
+text is hashed in stretches and its set held whole; equal texts link with each
+other; rows repeated in the input get the same component; of a component's ids the
+least names it, null ids only where it has no other; extra columns are ignored,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph
-from .common import drop_scratch, materialize, release, text_or_empty
+from .common import drop_scratch, materialize, release, scratch, text_or_empty
 from .texthash import shingle_set
 
 WORDS = 4
@@ -47,7 +48,8 @@ NUM, DEN = 85, 100
 SKETCH_BITS = 20
 SKETCH_BLOCK = 1 << 14
 ROUNDS = 2
-#: Pairs per document under which the pairwise phase starts without further rounds.
+#: Pairs per document under which the pairwise phase starts without further rounds of
+#: leaders. The phase is exact either way; this only chooses the cheaper order of work.
 PAIRS_PER_ROW = 50
 #: Buckets of the filter that thins the texts before their join (a bound on its rows).
 FILTER_BUCKETS = 1 << 18
@@ -379,13 +381,16 @@ def _labelled(prof: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``."""
-    return join(docs, id_col, **options).select(F.col("id").alias(id_col), "n_shingles", "component_id")
+    with scratch() as keep:
+        rows = keep(materialize(join(docs, id_col, **options).select(F.col("id").alias(id_col), "n_shingles", "component_id"), "ngram-components"))
+    return rows
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """All columns of one row per component: a row of its least id. Wordless rows
     stay. Rows that share an id are told apart by the digest of their sets."""
-    linked = materialize(join(docs, id_col, text_col, words=words, num=num, den=den), "ngram-components")
+    with scratch() as keep:
+        linked = keep(materialize(join(docs, id_col, text_col, words=words, num=num, den=den), "ngram-components"))
     first = linked.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("z"), F.col("id"), F.col("uid"))).alias("m"))
     kept = linked.join(first.select(F.col("m.uid").alias("uid")), "uid", "left_semi")
     kept = kept.groupBy("id", "d1", "d2").agg(F.count("*").alias("keep"))
