@@ -14,13 +14,17 @@ reads files by descending length, so where the order of the rows lies in part
 files (``by_file``) the ids are (part number, first row of a stretch that was
 read on end, running number) and a group ends with its stretch: in the order of
 the ids, sequences follow the order in which the rows were written.
-Null text is an empty text (one piece: the end id); rows repeated in the input
-are packed as often; an empty table gives no rows.
+Null or empty text is one piece, the end id; a very long text is cut into windows
+as it comes; rows repeated in the input, or of one id, are packed as often; sets of
+equal load are ordered by when they were formed; null ids are values like any other;
+columns besides id and text are ignored, whatever their names; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import repeat
@@ -40,6 +44,7 @@ GROUP_WINDOWS = 128
 END_ID = 1
 #: Bits of a sequence id by file: part number, first row, running number.
 PART_BITS, ROW_BITS, RUN_BITS = 18, 26, 19
+PART_FILE = re.compile(r"^part-(\d+)-.*-c0+\.")
 
 
 def differencing(weights: list[int], k: int) -> list[tuple[int, tuple]]:
@@ -88,12 +93,15 @@ def cut(n: int, capacity: int, piece: int) -> tuple[int, list[int]]:
 
 
 def in_files(docs: DataFrame) -> bool:
-    """Whether the rows come from files that Spark can name with their row numbers."""
+    """Whether ``docs`` is a plain read of numbered part files, so that their numbers
+    and the rows' numbers in them give the order in which the rows were written."""
+    if docs._jdf.queryExecution().analyzed().children().nonEmpty():
+        return False
     try:
         docs.select("_metadata.file_name", "_metadata.row_index")
     except AnalysisException:
         return False
-    return True
+    return all(PART_FILE.match(f.rsplit("/", 1)[-1]) for f in docs.inputFiles())
 
 
 def first_id(part: int | None, row: int) -> int:
@@ -188,7 +196,7 @@ def pack(
 
     kind = dict(docs.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)-.*-c0+\.", 1)
+    part = F.regexp_extract("_metadata.file_name", PART_FILE.pattern, 1)
     place = [F.nullif(part, F.lit("")).cast("int").alias("part"), F.col("_metadata.row_index").alias("row")] if by_file else []
     return docs.select(id_col, text_or_empty(text_col).alias("text"), *place).mapInArrow(
         run, schema + (", ids array<int>" if with_ids else "")
