@@ -89,7 +89,7 @@ def sketch(texts: DataFrame, words: int, bits: int) -> np.ndarray:
                 s = shingle_set(_raw(text), words)
                 held.append((s & np.uint64(size - 1)).astype(np.int64))
                 n += len(s)
-                if n > 4_000_000:
+                if n > 500_000:
                     add()
                     held.clear()
                     n = 0
