@@ -227,6 +227,52 @@ def label_propagation(pairs: DataFrame, rounds: int = 8) -> DataFrame:
     return labels
 
 
+def louvain(pairs: DataFrame, resolution: float = 1.0, levels: int = 3, rounds: int = 6, seed: int = 42) -> DataFrame:
+    """Communities (id, community) by Louvain's method in rounds: in each about
+    half of the nodes (by a seeded hash, so that neighbours do not swap for ever)
+    move to the neighbouring community of the highest modularity gain, ties to the
+    least; when a level's moves end or its rounds are used up, its communities
+    become the nodes of the next. ``pairs``: u, v, weight."""
+    both = _keep(pairs.select(F.col("u").alias("id"), F.col("v").alias("other"), "weight").union(pairs.select("v", "u", "weight")))
+    strength = _keep(both.groupBy("id").agg(F.sum("weight").alias("k")))
+    total = strength.agg(F.sum("k").alias("m2")).first()["m2"]
+    labels = strength.select("id", F.col("id").alias("community"))
+    for level in range(levels):
+        state = strength.select("id", "k", F.col("id").alias("c"))
+        moved_any = False
+        for r in range(rounds):
+            sums = state.groupBy("c").agg(F.sum("k").alias("s"))
+            near = both.join(state.select(F.col("id").alias("other"), "c"), "other").groupBy("id", "c").agg(F.sum("weight").alias("w"))
+            own = state.select("id", "c", F.lit(0.0).alias("w"))
+            options = near.unionByName(own).groupBy("id", "c").agg(F.sum("w").alias("w")).join(sums, "c").join(state.select("id", "k", F.col("c").alias("now")), "id")
+            rest = F.col("s") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)
+            gain = F.round(F.col("w") - F.lit(resolution) * F.col("k") * rest / F.lit(total), 9)
+            scored = options.withColumn("gain", gain)
+            best = scored.groupBy("id").agg(
+                F.min(F.struct((-F.col("gain")).alias("g"), "c")).alias("b"), F.max(F.when(F.col("c") == F.col("now"), F.col("gain"))).alias("stay"), F.first("k").alias("k"), F.first("now").alias("now"))
+            turn = F.pmod(F.xxhash64(F.lit(seed + r), "id"), F.lit(2)) == 0
+            move = turn & (-F.col("b.g") > F.col("stay"))
+            state = _keep(best.select("id", "k", F.when(move, F.col("b.c")).otherwise(F.col("now")).alias("c"), move.alias("moved")))
+            moved = state.agg(F.count_if("moved").alias("n")).first()["n"]
+            moved_any = moved_any or moved > 0
+            if not moved and r:
+                break
+        if not moved_any:
+            break
+        names = state.select("id", "c")
+        labels = _keep(labels.join(names.toDF("community", "c"), "community").select("id", F.col("c").alias("community")))
+        if level + 1 < levels:
+            both = _keep(both.join(names, "id").join(names.toDF("other", "d"), "other").filter("c <> d").groupBy(F.col("c").alias("id"), F.col("d").alias("other")).agg(F.sum("weight").alias("weight")))
+            strength = _keep(state.groupBy(F.col("c").alias("id")).agg(F.sum("k").alias("k")))
+    return labels
+
+
+def of_size(labels: DataFrame, least: int) -> DataFrame:
+    """The members of communities of at least ``least`` members."""
+    big = labels.groupBy("community").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("community")
+    return labels.join(big, "community", "left_semi")
+
+
 def components(edges: DataFrame, max_rounds: int = 100, keep: Callable[[DataFrame], DataFrame] = _keep) -> DataFrame:
     """Connected components by alternating stars: id, component (the
     least id reachable), for every id of ``edges`` (src, dst).

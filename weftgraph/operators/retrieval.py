@@ -11,17 +11,42 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import keywords
+from ..functions.text import keywords, words
 from .graph import top_per_group, undirected
 
 
+def containing(words: DataFrame, tokens: DataFrame, n: int = 3) -> DataFrame:
+    """(word, token) of all distinct ``words`` (word) inside ``tokens`` (token): an
+    equality join on a word's first ``n`` characters, which a token must have
+    somewhere, before the words are looked for."""
+    w = words.select("word", F.substring("word", 1, n).alias("gram")).filter("word <> ''").distinct()
+    t = tokens.select("token").distinct()
+    starts = F.sequence(F.lit(1), F.length("token"))
+    grams = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(F.col("token"), i, F.lit(k)) for k in range(1, n + 1)]))))
+    t = t.filter("token <> ''").select("token", F.explode(grams).alias("gram"))
+    return w.join(t, "gram").filter(F.contains("token", "word")).select("word", "token").distinct()
+
+
+def missing_pairs(texts: DataFrame, linked: DataFrame, longer: int = 4) -> DataFrame:
+    """(a, b) with a < b, not in ``linked`` in either direction, where a word of
+    more than ``longer`` characters of a's text occurs in b's. ``texts``: id, text."""
+    tokens = texts.select("id", F.explode(F.array_distinct(words(F.col("text")))).alias("token"))
+    mine = tokens.filter(F.length("token") > longer)
+    met = containing(mine.select(F.col("token").alias("word")), tokens, longer + 1)
+    pairs = mine.select(F.col("id").alias("a"), F.col("token").alias("word")).join(met, "word").select("a", "token").distinct().join(tokens.withColumnRenamed("id", "b"), "token")
+    pairs = pairs.filter(F.col("a") < F.col("b")).select("a", "b").distinct()
+    known = linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.join(known, ["a", "b"], "left_anti")
+
+
 def keyword_pass(questions: DataFrame, docs: DataFrame, most: int = 4, limit: int = 20) -> DataFrame:
     """Documents that contain a question's keywords: qid, doc_id, hits; the best
-    ``limit`` of each question by hits, then id. Documents are read once; the
-    questions' distinct keywords are matched as literals."""
+    ``limit`` of each question by hits, then id. Keywords have no white space, so a
+    document holds one if one of its tokens does; tokens and keywords meet by equality."""
     kw = questions.select("qid", F.explode(F.slice(F.array_distinct(keywords(F.col("question"))), 1, most)).alias("kw")).filter("kw <> ''")
-    vocabulary = kw.select("kw").distinct()
-    found = docs.select("doc_id", F.lower("text").alias("t")).join(vocabulary, F.contains("t", "kw")).select("doc_id", "kw")
+    tokens = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("token"))
+    met = containing(kw.select(F.col("kw").alias("word")), tokens)
+    found = tokens.join(met, "token").select("doc_id", F.col("word").alias("kw")).distinct()
     hits = found.join(kw, "kw").groupBy("qid", "doc_id").agg(F.count("*").alias("hits"))
     return top_per_group(hits, ["qid"], [F.col("hits").desc(), F.col("doc_id")], limit)
 
@@ -57,20 +82,31 @@ def with_source(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return hits.join(chunks.select("chunk_id", "source_id", "source_url"), "chunk_id", "left")
 
 
-def graph_lookup(entities: DataFrame, links: DataFrame, episodes: DataFrame, communities: DataFrame) -> DataFrame:
-    """An entity with its links, episodes and community; each aggregated before
-    its join. ``links`` (id, other), ``episodes`` (id, episode_id), ``communities`` (id, community)."""
-    l = links.groupBy("id").agg(F.count("*").alias("n_links"))
-    e = episodes.groupBy("id").agg(F.count("*").alias("n_episodes"))
-    zero = F.lit(0).cast("long")
-    return entities.join(l, "id", "left").join(e, "id", "left").join(communities, "id", "left").select(
-        "id", F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_episodes", zero).alias("n_episodes"), "community")
+def graph_lookup(entities: DataFrame, links: DataFrame, episodes: DataFrame, most_links: int = 15, most: int = 5) -> DataFrame:
+    """An entity with its relations in both directions, its newest episodes and
+    the first other members of its community, each cut to its limit and aggregated
+    before its join. ``entities`` (id, ord, community), ``links`` (src, dst,
+    rel_type), ``episodes`` (id, episode_id, at, ord)."""
+    def joined(rows: DataFrame, col: str, order: str, out: str) -> DataFrame:
+        items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(col).alias("c"))))
+        return rows.groupBy("id").agg(F.array_join(F.transform(items, lambda x: x["c"]), ",").alias(out))
+
+    out = links.select(F.col("src").alias("id"), F.concat("rel_type", F.lit(" -> "), "dst").alias("line"))
+    back = links.select(F.col("dst").alias("id"), F.concat("rel_type", F.lit(" <- "), "src").alias("line"))
+    lines = top_per_group(out.unionByName(back), ["id"], [F.col("line")], most_links)
+    newest = Window.partitionBy("id").orderBy(F.col("at").desc(), "ord")
+    recent = episodes.withColumn("n", F.row_number().over(newest)).filter(F.col("n") <= most)
+    # One member more than wanted, as an entity may be among the first of its own community.
+    first = entities.select("community", F.col("id").alias("other"), F.row_number().over(Window.partitionBy("community").orderBy("ord")).alias("n")).filter(F.col("n") <= most + 1)
+    fellows = entities.select("id", "community").join(first, "community").filter(F.col("id") != F.col("other"))
+    fellows = top_per_group(fellows, ["id"], [F.col("n")], most)
+    got = entities.select("id").join(joined(lines, "line", "line", "relations"), "id", "left").join(joined(recent, "episode_id", "n", "episodes"), "id", "left").join(joined(fellows, "other", "n", "members"), "id", "left")
+    return got.select("id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("relations", "episodes", "members")])
 
 
 def rerank(pairs: DataFrame, scorer=None) -> DataFrame:
     """(qid, doc_id, question, text) ordered by a scorer column, by default
     the sigmoid of the shared words; any ``(question, text) -> Column`` may stand in."""
-    from ..functions.text import words
     from ..functions.vectors import sigmoid
 
     def overlap(q: Column, t: Column) -> Column:

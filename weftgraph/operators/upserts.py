@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 def upsert(old: DataFrame, new: DataFrame, key: str, rules: dict[str, str]) -> DataFrame:
     """Outer join on ``key``; per column ``new`` takes the new
     value, ``coalesce`` the new one unless null, ``keep`` the old one, ``max`` and
-    ``min`` the extreme. Unmatched new rows take their own values."""
-    a, b = old.alias("a"), new.dropDuplicates([key]).alias("b")
+    ``min`` the extreme. Unmatched new rows take their own values; of new rows of one
+    key the greatest counts."""
+    rows = F.struct(*[F.col(c) for c in new.columns if c != key])
+    a, b = old.alias("a"), new.groupBy(key).agg(F.max(rows).alias("__row")).select(key, "__row.*").alias("b")
     both = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer")
     out = [F.coalesce(F.col(f"a.{key}"), F.col(f"b.{key}")).alias(key)]
     matched = F.col(f"a.{key}").isNotNull() & F.col(f"b.{key}").isNotNull()

@@ -1,25 +1,27 @@
 """Vector search and similarity operators.
 
-Search sends blocks of query vectors of checked size to every task and keeps the
-best k of each batch before one small shuffle. Pair searches meet blocks of
-packed vectors, so a task holds two blocks. Scores are rounded to six places
-before they are ranked, ties go to the smaller id.
+Both sides of a search or pair join are dealt into a grid of tiles of bounded size:
+a row goes once to every tile of its row or column, a tile holds one side and
+streams the other, and only results leave it. Nothing is collected or broadcast.
+Scores are rounded to six places before they are ranked, ties go to the smaller id.
+Null vectors match nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that one pass broadcasts.
-QUERY_BLOCK = 4096
-#: Vectors in one packed block.
-PAIR_BLOCK = 2048
+#: Query vectors, and vectors of a pair join, that a tile holds.
+QUERY_ROWS, PAIR_ROWS = 4096, 50_000
+#: Streamed vectors compared in one step.
+STEP = 1024
+#: Rows that are worth a tile of their own where cores are free.
+LEAST_ROWS = 512
 
 
 def _unit(rows: list) -> np.ndarray:
@@ -35,78 +37,110 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return m / np.where(n == 0, 1, n)
 
 
-def knn(queries: DataFrame, items: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", skip_self: bool = True) -> DataFrame:
-    """V2, V4, O1: the exact ``k`` best items of each query: query_id, item_id, score, rank."""
-    total = queries.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    q = queries.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    parts = []
-    for b in range(blocks):
-        rows = (q if blocks == 1 else q.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).collect()
-        if rows:
-            parts.append(_knn_block(rows, items, k, id_col, vec_col, skip_self))
-    if not parts:
-        return queries.sparkSession.createDataFrame([], "query_id long, item_id long, score double, rank int")
-    near = reduce(DataFrame.unionByName, parts)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+def _tiles(left: DataFrame, right: DataFrame, across: int, down: int, half: bool = False) -> DataFrame:
+    """Rows (id, v, grp) of both sides in partitions of one tile each: side 0 is a
+    tile's held rows, side 1 the streamed ones. With ``half`` both sides are one
+    table and only tiles on and above the diagonal are filled."""
+    a = F.pmod(F.xxhash64("id"), F.lit(across)).cast("int")
+    b = F.pmod(F.xxhash64("id"), F.lit(down)).cast("int")
+    top, last = F.lit(0), F.lit(down - 1)
+    held = left.select("id", "v", "grp", F.lit(0).alias("side"), a.alias("i")).withColumn("j", F.explode(F.sequence(F.col("i") if half else top, last)))
+    flow = right.select("id", "v", "grp", F.lit(1).alias("side"), b.alias("j")).withColumn("i", F.explode(F.sequence(top, F.col("j") if half else F.lit(across - 1))))
+    rows = held.select("id", "v", "grp", "side", "i", "j").unionByName(flow)
+    return rows.repartitionById(across * down, F.col("i") * down + F.col("j")).sortWithinPartitions("side").select("id", "v", "grp", "side", (F.col("i") == F.col("j")).alias("diagonal"))
+
+
+def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(held ids, unit vectors, groups, streamed ids, unit vectors, groups, diagonal) step by step."""
+    ids, vectors, groups = [], [], []
+    held = None
+    for batch in batches:
+        side = batch.column(3).to_numpy()
+        cut = int(np.searchsorted(side, 1))
+        if cut:
+            ids.append(batch.column(0)[:cut].to_numpy())
+            vectors.append(_matrix(batch.column(1).slice(0, cut)))
+            groups.append(np.array(batch.column(2)[:cut].to_pylist(), dtype=object))
+        for lo in range(cut, batch.num_rows, STEP):
+            if not ids:
+                return
+            if held is None:
+                held = np.concatenate(ids), np.concatenate(vectors), np.concatenate(groups)
+            part = batch.slice(lo, STEP)
+            yield *held, part.column(0).to_numpy(), _matrix(part.column(1)), np.array(part.column(2).to_pylist(), dtype=object), part.column(4)[0].as_py()
+
+
+def _rows(df: DataFrame, id_col: str, vec_col: str, group_col: str | None = None) -> DataFrame:
+    grp = F.col(group_col).cast("string") if group_col else F.lit(None).cast("string")
+    return df.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), grp.alias("grp"))
+
+
+def _parallelism(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
 
 
-def _knn_block(rows: list, items: DataFrame, k: int, id_col: str, vec_col: str, skip_self: bool) -> DataFrame:
-    shared = items.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in rows], dtype=np.int64), _unit([r["v"] for r in rows])))
+def knn(queries: DataFrame, items: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", skip_self: bool = True) -> DataFrame:
+    """V2, V4, O1: the exact ``k`` best items of each query: query_id, item_id, score, rank."""
+    q, e = _rows(queries, id_col, vec_col), _rows(items, id_col, vec_col)
+    n = e.count()
+    across = max(1, -(-q.count() // QUERY_ROWS))
+    down = max(1, min(_parallelism(e), -(-n // LEAST_ROWS)), -(-n // (20 * PAIR_ROWS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, qs = shared.value
-        for batch in batches:
-            if not len(batch):
-                continue
-            own = batch.column(0).to_numpy()
-            score = np.round(qs @ _matrix(batch.column(1)).T, 6)
+        best = None
+        for ids, held, _, own, flow, _, _ in _stream(batches):
+            score = np.round(held @ flow.T, 6)
             if skip_self:
                 score[ids[:, None] == own[None]] = -np.inf
-            m = min(k, len(own))
-            # Ties at the edge stay in by ordering on (score, id).
-            order = np.argsort(own, kind="stable")
-            top = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :m]]
-            best = np.take_along_axis(score, top, axis=1).ravel()
-            keep = np.isfinite(best)
+            named = np.broadcast_to(own, score.shape)
+            if best is not None:
+                score, named = np.concatenate([best[1], score], 1), np.concatenate([best[2], named], 1)
+            top = np.lexsort((named, -score), axis=1)[:, :k]
+            best = ids, np.take_along_axis(score, top, 1), np.take_along_axis(named, top, 1)
+        if best is not None:
+            keep = np.isfinite(best[1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, m)[keep]), pa.array(own[top].ravel()[keep]), pa.array(best[keep])], names=["query_id", "item_id", "score"])
+                [pa.array(np.repeat(best[0], best[1].shape[1])[keep.ravel()]), pa.array(best[2][keep]), pa.array(best[1][keep])], names=["query_id", "item_id", "score"])
 
-    return items.select(F.col(id_col).cast("long"), vec_col).mapInArrow(run, "query_id long, item_id long, score double")
+    near = _tiles(q, e, across, down).mapInArrow(run, "query_id long, item_id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding", other: DataFrame | None = None) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding", other: DataFrame | None = None,
+                  group_col: str | None = None) -> DataFrame:
     """Exact pairs of cosine at least ``threshold``: a, b, score.
 
-    Within one table a < b; with ``other`` every (row, other row) pair counts.
+    Within one table a < b; with ``other`` every (row, other row) pair counts; with
+    ``group_col`` only rows of one group pair.
     """
-    def packed(df: DataFrame) -> DataFrame:
-        n = max(1, -(-df.count() // PAIR_BLOCK))
-        return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(
-            F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"))
+    left = _rows(vectors, id_col, vec_col, group_col)
+    right = left if other is None else _rows(other, id_col, vec_col, group_col)
+    cores = int(np.ceil(np.sqrt(2 * _parallelism(vectors))))
 
-    left = packed(vectors)
-    right = left if other is None else packed(other)
-    left, right = left.toDF("ba", "ia", "va"), right.toDF("bb", "ib", "vb")
-    met = left.join(right, F.col("ba") <= F.col("bb")) if other is None else left.crossJoin(right)
-    same = other is None
+    def parts(df: DataFrame) -> int:
+        n = df.count()
+        return max(1, -(-n // PAIR_ROWS), min(cores, -(-n // LEAST_ROWS)))
+
+    across = parts(left)
+    down = across if other is None else parts(right)
+    same, grouped = other is None, group_col is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ba, ia, va, bb, ib, vb in zip(*(c.to_pylist() for c in batch.columns)):
-                a, b = np.array(ia), np.array(ib)
-                score = np.round(_unit(va) @ _unit(vb).T, 6)
-                i, j = np.nonzero(score >= threshold)
-                if same:
-                    keep = a[i] < b[j] if ba == bb else np.ones(len(i), dtype=bool)
-                    i, j = i[keep], j[keep]
-                    lo, hi = np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
-                else:
-                    lo, hi = a[i], b[j]
-                yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(score[i, j])], names=["a", "b", "score"])
-
-    return met.repartition("ba", "bb").mapInArrow(run, "a long, b long, score double")
+        for ids, held, g, own, flow, h, diagonal in _stream(batches):
+            found = np.round(held @ flow.T, 6)
+            ok = found >= threshold
+            if grouped:
+                ok &= g[:, None] == h[None]
+            if same and diagonal:
+                ok &= ids[:, None] < own[None]
+            i, j = np.nonzero(ok)
+            a, b = ids[i], own[j]
+            if same:
+                a, b = np.minimum(a, b), np.maximum(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(found[i, j])], names=["a", "b", "score"])
+
+    return _tiles(left, right, across, down, half=same).mapInArrow(run, "a long, b long, score double")
 
 
 def similar_pairs_top(vectors: DataFrame, threshold: float, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -168,12 +202,14 @@ def greedy_clusters(vectors: DataFrame, group_col: str, threshold: float, id_col
 
 def semantic_prf(predicted: DataFrame, gold: DataFrame, group_col: str, threshold: float) -> DataFrame:
     """V9: precision, recall and F1 of vectors matched by best cosine per group."""
-    from ..functions.vectors import cosine
+    met = similar_pairs(predicted, threshold, "id", "v", other=gold, group_col=group_col)
+
+    def share(side: DataFrame, other: DataFrame, col: str, out: str) -> DataFrame:
+        mine = side.select(group_col, "id").join(other.select(group_col).distinct(), group_col, "left_semi")
+        hit = mine.join(met.select(F.col(col).alias("id")).distinct().withColumn("ok", F.lit(1)), "id", "left")
+        return hit.groupBy(group_col).agg((F.count("ok") / F.count("*")).alias(out))
 
-    met = predicted.select(group_col, F.col("id").alias("p"), F.col("v").alias("pv")).join(gold.select(group_col, F.col("id").alias("g"), F.col("v").alias("gv")), group_col)
-    met = met.select(group_col, "p", "g", (F.round(cosine(F.col("pv"), F.col("gv")), 6) >= threshold).alias("ok"))
-    hit_p = met.groupBy(group_col, "p").agg(F.max("ok").alias("ok")).groupBy(group_col).agg((F.count_if("ok") / F.count("*")).alias("precision"))
-    hit_g = met.groupBy(group_col, "g").agg(F.max("ok").alias("ok")).groupBy(group_col).agg((F.count_if("ok") / F.count("*")).alias("recall"))
+    hit_p, hit_g = share(predicted, gold, "a", "precision"), share(gold, predicted, "b", "recall")
     p, r = F.col("precision"), F.col("recall")
     return hit_p.join(hit_g, group_col).withColumn("f1", F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r)))
 

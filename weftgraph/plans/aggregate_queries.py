@@ -125,7 +125,7 @@ def weighted_overall(spark, sf_dir):
 
 
 @query("rejection_confusion", """WITH c AS (SELECT count_if(quality=0 AND toxic=1) AS tp, count_if(quality=1 AND toxic=1) AS fp, count_if(quality=1 AND toxic=0) AS tn, count_if(quality=0 AND toxic=0) AS fn FROM labels)
-SELECT tp, fp, tn, fn, round(CASE WHEN tp+fn=0 THEN 1.0 ELSE tp/(tp+fn) END, 6) AS sensitivity, round(CASE WHEN tn+fp=0 THEN 1.0 ELSE tn/(tn+fp) END, 6) AS specificity, round(CASE WHEN tp+fp=0 THEN 1.0 ELSE tp/(tp+fp) END, 6) AS precision, round((tp+tn)/(tp+fp+tn+fn), 6) AS accuracy FROM c""")
+SELECT tp, fp, tn, fn, round(CASE WHEN tp+fn=0 THEN 1.0 ELSE tp/(tp+fn) END, 6) AS sensitivity, round(CASE WHEN tn+fp=0 THEN 1.0 ELSE tn/(tn+fp) END, 6) AS specificity, round(CASE WHEN tp+fp=0 THEN 1.0 ELSE tp/(tp+fp) END, 6) AS precision, round(CASE WHEN tp+fp+tn+fn=0 THEN 1.0 ELSE (tp+tn)/(tp+fp+tn+fn) END, 6) AS accuracy, round(CASE WHEN 2*tp+fp+fn=0 THEN 1.0 ELSE 2*tp/(2*tp+fp+fn) END, 6) AS f1 FROM c""")
 def rejection_confusion(spark, sf_dir):
     """Toxic is the prediction, low quality the truth."""
     q, t = F.col("quality"), F.col("toxic")
@@ -134,7 +134,7 @@ def rejection_confusion(spark, sf_dir):
         return F.round(F.when(b == 0, 1.0).otherwise(a / b), 6)
 
     tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))
-    return c.select("*", guarded(tp, tp + fn).alias("sensitivity"), guarded(tn, tn + fp).alias("specificity"), guarded(tp, tp + fp).alias("precision"), F.round((tp + tn) / (tp + fp + tn + fn), 6).alias("accuracy"))
+    return c.select("*", guarded(tp, tp + fn).alias("sensitivity"), guarded(tn, tn + fp).alias("specificity"), guarded(tp, tp + fp).alias("precision"), guarded(tp + tn, tp + fp + tn + fn).alias("accuracy"), guarded(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
 @query("category_breakdown", "SELECT c_mktsegment AS category, count(*) AS n, round(avg(c_acctbal), 4) AS avg_score, round(avg((c_acctbal > 0)::INT), 6) AS completeness FROM customer GROUP BY 1")
@@ -177,10 +177,10 @@ def dataset_rollup(spark, sf_dir):
     return load(spark, sf_dir, "documents").rollup("lang", "source").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 4).alias("avg_chars"))
 
 
-@query("metric_series", "SELECT event_type AS metric, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS series FROM events WHERE user_id = 2 GROUP BY 1")
+@query("metric_series", "SELECT event_type AS metric, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS series FROM events GROUP BY 1")
 def metric_series(spark, sf_dir):
     """A27."""
-    e = load(spark, sf_dir, "events").filter("user_id = 2").groupBy(F.col("event_type").alias("metric")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("s"))
+    e = load(spark, sf_dir, "events").groupBy(F.col("event_type").alias("metric")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("s"))
     return e.select("metric", F.array_join(F.transform("s", lambda x: x["event_id"].cast("string")), ",").alias("series"))
 
 
@@ -236,10 +236,10 @@ def two_key_sort(spark, sf_dir):
     return load(spark, sf_dir, "orders").orderBy(F.col("o_orderpriority").desc(), F.col("o_totalprice").desc(), "o_orderkey").limit(30).select("o_orderkey", "o_orderpriority", "o_totalprice")
 
 
-@query("random_sample")
+@query("random_sample", "SELECT doc_id, source FROM documents ORDER BY md5('7:'||doc_id), doc_id LIMIT 25")
 def random_sample(spark, sf_dir):
-    """A sampling operator."""
-    return load(spark, sf_dir, "documents").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(25).select("doc_id", "source")
+    """A sampling operator: the least digests of seed and id."""
+    return load(spark, sf_dir, "documents").orderBy(F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"))), "doc_id").limit(25).select("doc_id", "source")
 
 
 @query("budget_split", """WITH p AS (SELECT * FROM (VALUES (1,'single',0.4),(2,'multi',0.35),(3,'compare',0.15),(4,'reject',0.1)) t(ord,kind,prob)), f AS (SELECT *, CAST(floor(103 * prob) AS BIGINT) AS base FROM p)
@@ -288,10 +288,10 @@ def set_difference(spark, sf_dir):
     return c.exceptAll(o.distinct()).distinct().select(F.col("c_custkey").alias("id"), F.lit("missing").alias("side")).unionByName(c.intersect(o).select(F.col("c_custkey").alias("id"), F.lit("both").alias("side")))
 
 
-@query("provenance_union", "SELECT l_partkey, string_agg(DISTINCT k, ',' ORDER BY k) AS keys FROM (SELECT l_partkey, 's'||l_suppkey AS k FROM lineitem WHERE l_partkey < 50 UNION SELECT l_partkey, 'f'||l_returnflag FROM lineitem WHERE l_partkey < 50) GROUP BY 1")
+@query("provenance_union", "SELECT l_partkey, string_agg(DISTINCT k, ',' ORDER BY k) AS keys FROM (SELECT l_partkey, 's'||l_suppkey AS k FROM lineitem UNION SELECT l_partkey, 'f'||l_returnflag FROM lineitem) GROUP BY 1")
 def provenance_union(spark, sf_dir):
     """U4."""
-    g = load(spark, sf_dir, "lineitem").filter("l_partkey < 50").groupBy("l_partkey").agg(F.collect_set(F.concat(F.lit("s"), F.col("l_suppkey"))).alias("a"), F.collect_set(F.concat(F.lit("f"), F.col("l_returnflag"))).alias("b"))
+    g = load(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.collect_set(F.concat(F.lit("s"), F.col("l_suppkey"))).alias("a"), F.collect_set(F.concat(F.lit("f"), F.col("l_returnflag"))).alias("b"))
     return g.select("l_partkey", F.array_join(F.array_sort(F.array_union("a", "b")), ",").alias("keys"))
 
 
@@ -318,11 +318,11 @@ def upsert_name_only(spark, sf_dir):
     return U.upsert(old, load(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("q"), F.col("quality")).alias("lang")), "doc_id", {"lang": "new"})
 
 
-@query("upsert_edges", """SELECT DISTINCT 'customer:'||o_custkey AS src, 'orders:'||o_orderkey AS dst, CASE o_orderstatus WHEN 'O' THEN 'OPEN' WHEN 'F' THEN 'FILLED' ELSE 'RELATED_TO' END AS rel_type FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 10)""")
+@query("upsert_edges", """SELECT DISTINCT 'customer:'||o_custkey AS src, 'orders:'||o_orderkey AS dst, CASE o_orderstatus WHEN 'O' THEN 'OPEN' WHEN 'F' THEN 'FILLED' ELSE 'RELATED_TO' END AS rel_type FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)""")
 def upsert_edges(spark, sf_dir):
     """K2, K4."""
     o = load(spark, sf_dir, "orders").select(F.concat(F.lit("customer:"), F.col("o_custkey")).alias("src"), F.concat(F.lit("orders:"), F.col("o_orderkey")).alias("dst"), F.col("o_orderstatus").alias("rel_type"))
-    ids = load(spark, sf_dir, "customer").filter("c_nationkey < 10").select(F.concat(F.lit("customer:"), F.col("c_custkey")).alias("id")).unionByName(o.select(F.col("dst").alias("id")))
+    ids = load(spark, sf_dir, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey")).alias("id")).unionByName(o.select(F.col("dst").alias("id")))
     return U.upsert_edges(o.limit(0), o, ids, {"O": "OPEN", "F": "FILLED"})
 
 
@@ -333,10 +333,10 @@ def upsert_max_conf(spark, sf_dir):
     return U.entity_merge_max(e).select("entity_id", "name", "confidence", F.array_join("source_chunk_ids", ",").alias("chunks"))
 
 
-@query("history_accumulate", "SELECT conv_id, string_agg(left(text, 10), ' | ' ORDER BY turn) AS description, count(*) AS extraction_count, count(DISTINCT role) AS labels FROM conversations GROUP BY 1")
+@query("history_accumulate", "SELECT conv_id, string_agg(text, ' | ' ORDER BY turn) AS description, count(*) AS extraction_count, count(DISTINCT role) AS labels FROM conversations GROUP BY 1")
 def history_accumulate(spark, sf_dir):
     """K5, K6."""
-    c = load(spark, sf_dir, "conversations").withColumn("t10", F.substring("text", 1, 10))
+    c = load(spark, sf_dir, "conversations").withColumn("t10", F.col("text"))
     return U.accumulate(c, ["conv_id"], "t10", "role", "turn").select("conv_id", "description", "extraction_count", F.size("label_history").cast("long").alias("labels"))
 
 

@@ -144,6 +144,19 @@ def typed_union(spark, sf_dir):
     return e.join(s, "src", "left").distinct().select("src", "dst", "rel_type", "name")
 
 
+@query("excluded_types", f"""WITH {EDGES_SQL} SELECT rel_type, count(*) AS n, count(DISTINCT src) AS sources FROM edges WHERE rel_type NOT IN ('CONTAINS','SUPPLIED_BY') GROUP BY 1""")
+def excluded_types(spark, sf_dir):
+    """Every edge but those of the excluded types."""
+    e = edges(spark, sf_dir).filter(~F.col("rel_type").isin("CONTAINS", "SUPPLIED_BY"))
+    return e.groupBy("rel_type").agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"))
+
+
+@query("full_scan", f"WITH {NODES_SQL} SELECT id, label, name FROM nodes")
+def full_scan(spark, sf_dir):
+    """Every node of every label."""
+    return nodes(spark, sf_dir)
+
+
 @query("traversal_counts", f"""WITH {EDGES_SQL}, e AS (SELECT DISTINCT src, dst FROM edges WHERE rel_type IN ('LIVES_IN','IN_REGION','BASED_IN')),
 one AS (SELECT src, dst FROM e), two AS (SELECT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src)
 SELECT src AS node, count(DISTINCT dst) AS ancestors FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY src""")
@@ -235,6 +248,13 @@ def communities_lpa(spark, sf_dir):
         "community", "members", F.array_join(F.transform("t", lambda x: x["id"]), ",").alias("representatives"))
 
 
+@query("communities_louvain")
+def communities_louvain(spark, sf_dir):
+    """Communities by local moves of modularity, of at least three members."""
+    found = G.louvain(_entity_pairs(spark, sf_dir), levels=2, rounds=3)
+    return G.of_size(found, 3).select("id", "community")
+
+
 @query("community_stats", "SELECT count(*) AS communities, sum(n) AS members, avg(n) AS avg_size, max(n) AS max_size, min(n) AS min_size FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1)")
 def community_stats(spark, sf_dir):
     """A11, B3."""
@@ -262,12 +282,12 @@ def bfs_capped(spark, sf_dir):
 
 
 @query("shortest_pairs", """WITH e AS (SELECT DISTINCT 'n'||n_nationkey AS a, 'r'||n_regionkey AS b FROM nation),
-p AS (SELECT x.n_nationkey AS i, y.n_nationkey AS j, x.n_regionkey = y.n_regionkey AS same FROM nation x JOIN nation y ON x.n_nationkey < y.n_nationkey WHERE x.n_nationkey < 5)
+p AS (SELECT x.n_nationkey AS i, y.n_nationkey AS j, x.n_regionkey = y.n_regionkey AS same FROM nation x JOIN nation y ON x.n_nationkey < y.n_nationkey)
 SELECT 'nation:'||i AS a, 'nation:'||j AS b, CASE WHEN same THEN 2 END AS distance FROM p""")
 def shortest_pairs(spark, sf_dir):
     """G7."""
     n = load(spark, sf_dir, "nation").select(node_id("nation", "n_nationkey").alias("id"), "n_nationkey")
-    p = n.toDF("a", "i").join(n.toDF("b", "j"), F.col("i") < F.col("j")).filter("i < 5").select("a", "b")
+    p = n.toDF("a", "i").join(n.toDF("b", "j"), F.col("i") < F.col("j")).select("a", "b")
     return G.shortest_pairs(p, edges(spark, sf_dir, ["IN_REGION"]), 4).select("a", "b", "distance")
 
 

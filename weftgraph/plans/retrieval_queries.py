@@ -15,27 +15,20 @@ from .vector_queries import QUERY_STEP
 
 _KW = f"""k AS (SELECT DISTINCT item_id AS qid, kw FROM (SELECT item_id, unnest(list_slice(list_distinct_ordered, 1, 4)) AS kw FROM (
  SELECT item_id, list_filter(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN list_position(w, w[i]) = i THEN w[i] END), lambda x: x IS NOT NULL) AS list_distinct_ordered FROM (
- SELECT item_id, list_transform(list_filter({WORDS.format(c='text')}, lambda w: length(w) > 2 AND w NOT IN {_in(X.STOP_QUERY)}), lambda w: trim(w, '''\",.?!')) AS w FROM benchmark WHERE item_id < 10))) WHERE kw <> '')"""
+ SELECT item_id, list_transform(list_filter({WORDS.format(c='text')}, lambda w: length(w) > 2 AND w NOT IN {_in(X.STOP_QUERY)}), lambda w: trim(w, '''\",.?!')) AS w FROM benchmark WHERE item_id % 20 = 0))) WHERE kw <> '')"""
 
 
 @query("keyword_documents", f"""WITH {_KW}, h AS (SELECT qid, doc_id, count(*) AS hits FROM k JOIN documents ON contains(lower(text), kw) GROUP BY 1, 2)
 SELECT qid, doc_id, hits FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hits DESC, doc_id) AS r FROM h) WHERE r <= 20""")
 def keyword_documents(spark, sf_dir):
-    """The ten first benchmark items are the questions."""
-    q = load(spark, sf_dir, "benchmark").filter("item_id < 10").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    return R.keyword_pass(q, load(spark, sf_dir, "documents")).select("qid", "doc_id", "hits")
-
-
-@query("keyword_documents_all")
-def keyword_documents_all(spark, sf_dir):
-    """R1, R6 for the whole query set."""
+    """Every twentieth benchmark item is a question."""
     q = load(spark, sf_dir, "benchmark").filter(F.col("item_id") % QUERY_STEP == 0).select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
     return R.keyword_pass(q, load(spark, sf_dir, "documents")).select("qid", "doc_id", "hits")
 
 
-def _vector_hits(spark, sf_dir, asked="vec_id < 5"):
+def _vector_hits(spark, sf_dir):
     e = load(spark, sf_dir, "embeddings")
-    near = V.knn(e.filter(asked), e, 5)
+    near = V.knn(e.filter(F.col("vec_id") % QUERY_STEP == 0), e, 5)
     return near.select(F.col("query_id").alias("qid"), F.concat(F.lit("v"), F.col("item_id")).alias("node"), "score")
 
 
@@ -45,7 +38,7 @@ def _label_edges(spark, sf_dir):
 
 
 _VEC = """h AS (SELECT qid, 'v'||item AS node, score FROM (SELECT a.vec_id AS qid, b.vec_id AS item, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score,
- row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 5) WHERE r <= 5)"""
+ row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) WHERE r <= 5)"""
 _EXP = """e AS (SELECT 'v'||vec_id AS a, 'v'||(vec_id + 1) AS b FROM embeddings), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 x AS (SELECT DISTINCT qid, u.b AS node FROM h JOIN u ON u.a = h.node EXCEPT SELECT qid, node FROM h)"""
 
@@ -64,54 +57,40 @@ def hybrid_retrieval(spark, sf_dir):
     return R.hybrid(h, R.expand(h, _label_edges(spark, sf_dir))).select("qid", "node", "score", "pass")
 
 
-@query("retrieve_expand_all")
-def retrieve_expand_all(spark, sf_dir):
-    """R2, R3, B1 for the whole query set."""
-    return R.expand(_vector_hits(spark, sf_dir, f"vec_id % {QUERY_STEP} = 0"), _label_edges(spark, sf_dir))
-
-
-@query("hybrid_retrieval_all")
-def hybrid_retrieval_all(spark, sf_dir):
-    """R5, U2 for the whole query set."""
-    h = _vector_hits(spark, sf_dir, f"vec_id % {QUERY_STEP} = 0")
-    return R.hybrid(h, R.expand(h, _label_edges(spark, sf_dir))).select("qid", "node", "score", "pass")
-
-
-@query("graph_lookup", f"""WITH {EDGES_SQL}, l AS (SELECT src AS id, count(*) AS n FROM edges WHERE rel_type IN ('BASED_IN','LIVES_IN') GROUP BY 1), o AS (SELECT 'customer:'||o_custkey AS id, count(*) AS n FROM orders GROUP BY 1)
-SELECT 'customer:'||c_custkey AS id, coalesce(l.n,0) AS n_links, coalesce(o.n,0) AS n_episodes, c_nationkey AS community FROM customer LEFT JOIN l ON l.id = 'customer:'||c_custkey LEFT JOIN o ON o.id = 'customer:'||c_custkey""")
+@query("graph_lookup", f"""WITH {EDGES_SQL}, k AS (SELECT c_custkey AS key, 'customer:'||c_custkey AS id, c_nationkey AS community FROM customer),
+l AS (SELECT src AS id, rel_type||' -> '||dst AS line FROM edges WHERE rel_type = 'LIVES_IN' UNION ALL SELECT dst, rel_type||' <- '||src FROM edges WHERE rel_type = 'PLACED_BY'),
+r AS (SELECT id, string_agg(line, ',' ORDER BY line) AS relations FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY line) AS n FROM l) WHERE n <= 15 GROUP BY 1),
+o AS (SELECT 'customer:'||o_custkey AS id, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY n) AS episodes FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders) WHERE n <= 5 GROUP BY 1),
+m AS (SELECT community, id, key, row_number() OVER (PARTITION BY community ORDER BY key) AS n FROM k),
+c AS (SELECT k.id, string_agg(m.id, ',' ORDER BY m.n) AS members FROM k JOIN m ON m.community = k.community AND m.id <> k.id AND m.n <= 6
+  WHERE m.n <= CASE WHEN EXISTS (SELECT 1 FROM m x WHERE x.id = k.id AND x.n <= 5) THEN 6 ELSE 5 END GROUP BY 1)
+SELECT k.id, coalesce(relations, '') AS relations, coalesce(episodes, '') AS episodes, coalesce(members, '') AS members FROM k LEFT JOIN r USING(id) LEFT JOIN o USING(id) LEFT JOIN c USING(id)""")
 def graph_lookup(spark, sf_dir):
-    """R7, R8."""
-    c = load(spark, sf_dir, "customer").select(node_id("customer", "c_custkey").alias("id"), F.col("c_nationkey").alias("community"))
-    links = edges(spark, sf_dir, ["LIVES_IN", "BASED_IN"]).select(F.col("src").alias("id"), F.col("dst").alias("other"))
-    ep = load(spark, sf_dir, "orders").select(node_id("customer", "o_custkey").alias("id"), F.col("o_orderkey").alias("episode_id"))
-    return R.graph_lookup(c.select("id"), links, ep, c)
+    """Relations with direction, the five newest episodes and five fellow members of each customer."""
+    c = load(spark, sf_dir, "customer").select(node_id("customer", "c_custkey").alias("id"), F.col("c_custkey").alias("ord"), F.col("c_nationkey").alias("community"))
+    ep = load(spark, sf_dir, "orders").select(node_id("customer", "o_custkey").alias("id"), F.col("o_orderkey").cast("string").alias("episode_id"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("ord"))
+    links = edges(spark, sf_dir, ["LIVES_IN", "PLACED_BY"]).filter((F.col("rel_type") == "LIVES_IN") | F.col("dst").startswith("customer:"))
+    return R.graph_lookup(c, links, ep)
 
 
-@query("rerank_stub")
+@query("rerank_stub", f"""WITH {_KW}, h AS (SELECT qid, doc_id, count(*) AS hits FROM k JOIN documents ON contains(lower(text), kw) GROUP BY 1, 2),
+t AS (SELECT qid, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hits DESC, doc_id) AS r FROM h) WHERE r <= 10),
+s AS (SELECT qid, t.doc_id, len(list_distinct(list_intersect({WORDS.format(c='b.text')}, {WORDS.format(c='d.text')}))) AS n FROM t JOIN benchmark b ON b.item_id = qid JOIN documents d ON d.doc_id = t.doc_id)
+SELECT qid, doc_id, round(1 / (1 + exp(-(n / 5.0 - 1))), 6) AS rerank_score, row_number() OVER (PARTITION BY qid ORDER BY round(1 / (1 + exp(-(n / 5.0 - 1))), 6) DESC, doc_id) AS rank FROM s""")
 def rerank_stub(spark, sf_dir):
     """Keyword hits reordered by the stand-in scorer."""
-    return _reranked(spark, sf_dir, "item_id < 10")
-
-
-@query("rerank_stub_all")
-def rerank_stub_all(spark, sf_dir):
-    """V13 for the whole query set."""
-    return _reranked(spark, sf_dir, f"item_id % {QUERY_STEP} = 0")
-
-
-def _reranked(spark, sf_dir, asked):
-    b = load(spark, sf_dir, "benchmark").filter(asked).select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    b = load(spark, sf_dir, "benchmark").filter(F.col("item_id") % QUERY_STEP == 0).select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
     docs = load(spark, sf_dir, "documents")
     hits = R.keyword_pass(b, docs, limit=10)
     return R.rerank(hits.join(b, "qid").join(docs.select("doc_id", "text"), "doc_id")).select("qid", "doc_id", "rerank_score", "rank")
 
 
-@query("chunk_sources", """SELECT doc_id AS source_id, 'c'||doc_id AS chunk_id, 'https://docs/'||source AS source_url FROM documents WHERE doc_id % 50 = 0""")
+@query("chunk_sources", """SELECT doc_id AS source_id, 'c'||doc_id AS chunk_id, 'https://docs/'||source AS source_url FROM documents""")
 def chunk_sources(spark, sf_dir):
     """Chunks that a search returned, with where they come from."""
     d = load(spark, sf_dir, "documents")
     chunks = d.select(F.concat(F.lit("c"), F.col("doc_id")).alias("chunk_id"), F.col("doc_id").alias("source_id"), F.concat(F.lit("https://docs/"), F.col("source")).alias("source_url"))
-    hits = d.filter("doc_id % 50 = 0").select(F.concat(F.lit("c"), F.col("doc_id")).alias("chunk_id"))
+    hits = d.select(F.concat(F.lit("c"), F.col("doc_id")).alias("chunk_id"))
     return R.with_source(hits, chunks).select("source_id", "chunk_id", "source_url")
 
 

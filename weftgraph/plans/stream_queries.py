@@ -30,16 +30,16 @@ def maintenance_points(spark, sf_dir):
     return E.maintenance_points(load(spark, sf_dir, "events"))
 
 
-@query("stable_versions", """WITH v AS (SELECT event_type AS category, CAST(date_part('day', ts) AS INT) AS version, least(count(*), 2) AS labels FROM events WHERE user_id < 8 GROUP BY 1, 2),
+@query("stable_versions", """WITH v AS (SELECT event_type AS category, CAST(date_part('day', ts) AS INT) AS version, count(DISTINCT user_id) // 40 AS labels FROM events GROUP BY 1, 2),
 g AS (SELECT *, sum(c) OVER (PARTITION BY category ORDER BY version) AS grp FROM (SELECT *, CASE WHEN labels = lag(labels) OVER (PARTITION BY category ORDER BY version) THEN 0 ELSE 1 END AS c FROM v)),
 n AS (SELECT *, row_number() OVER (PARTITION BY category, grp ORDER BY version) AS n FROM g) SELECT category, min(version) AS stable_at FROM n WHERE n = 4 GROUP BY 1""")
 def stable_versions(spark, sf_dir):
     """When a category's labels stopped changing."""
-    v = load(spark, sf_dir, "events").filter("user_id < 8").groupBy(F.col("event_type").alias("category"), F.dayofmonth("ts").alias("version")).agg(F.least(F.count("*"), F.lit(2)).alias("labels"))
+    v = load(spark, sf_dir, "events").groupBy(F.col("event_type").alias("category"), F.dayofmonth("ts").alias("version")).agg(F.floor(F.countDistinct("user_id") / 40).alias("labels"))
     return E.stable_since(v, 3)
 
 
-@query("trust_defaults")
+@query("trust_defaults", "SELECT category, count(*) AS n FROM (VALUES " + ", ".join(f"('{level}', '{category}')" for _, _, level, category in C.TRUSTED) + ") t(level, category) WHERE level IN ('medium', 'high') GROUP BY 1")
 def trust_defaults(spark, sf_dir):
     """Default sources of medium trust or better by category."""
     return C.trust_export(C.trust_at_least(C.trust_table(spark), "medium")).select("category", F.size("sources").alias("n"))

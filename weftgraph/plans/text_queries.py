@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text as X
 from ..operators.graph import top_per_group
+from ..operators.retrieval import missing_pairs
+from ..sources.config import ontology
 from ..sources.tables import load
 from .registry import query
 
@@ -129,11 +131,30 @@ def keyword_study(spark, sf_dir):
     return load(spark, sf_dir, "benchmark").select("item_id", F.array_join(X.keywords_study(F.col("text")), " ").alias("kw"))
 
 
-@query("ontology_hits", "SELECT doc_id, " + ", ".join(
-    f"{' + '.join(f'''(length(text) - length(replace(lower(text), '{k}', ''))) // {len(k)}''' for k in ks)} AS {t.lower()}" for t, ks in list(X.TYPE_HINTS.items())[:3]) + " FROM documents")
+def _count_sql(k: str) -> str:
+    return f"(length(text) - length(replace(lower(text), '{k}', ''))) // {len(k)}"
+
+
+@query("ontology_hits", "SELECT doc_id, " + ", ".join(f"{' + '.join(_count_sql(k) for k in ks)} AS {t.lower()}" for t, ks in X.TYPE_HINTS.items()) + " FROM documents")
 def ontology_hits(spark, sf_dir):
-    """F28."""
-    return load(spark, sf_dir, "documents").select("doc_id", *[X.hits(F.col("text"), ks).alias(t.lower()) for t, ks in list(X.TYPE_HINTS.items())[:3]])
+    """hits of each type's words by document."""
+    return load(spark, sf_dir, "documents").select("doc_id", *[X.hits(F.col("text"), ks).alias(t.lower()) for t, ks in X.TYPE_HINTS.items()])
+
+
+@query("ontology_found", "WITH h AS (" + " UNION ALL ".join(
+    f"SELECT '{kind}' AS kind, '{t}' AS label, sum({' + '.join(_count_sql(k) for k in ks)}) AS n, {least} AS least FROM documents"
+    for kind, hints, least in (("type", X.TYPE_HINTS, 3), ("relation", X.RELATION_HINTS, 2)) for t, ks in hints.items())
+    + "), b AS (SELECT * FROM (VALUES ('type','Person'),('type','Turbine'),('relation','USES'),('relation','OWNS')) t(kind, label))"
+    + " SELECT kind, label, max(base) AS in_base FROM (SELECT kind, label, false AS base FROM h WHERE n >= least UNION ALL SELECT kind, label, true FROM b) GROUP BY 1, 2")
+def ontology_found(spark, sf_dir):
+    """types seen three times or more and relations seen twice, merged into a base ontology."""
+    d = load(spark, sf_dir, "documents")
+    rows = [("type", t, ks, 3) for t, ks in X.TYPE_HINTS.items()] + [("relation", t, ks, 2) for t, ks in X.RELATION_HINTS.items()]
+    sums = d.agg(*[F.sum(X.hits(F.col("text"), ks)).alias(f"{kind}:{t}") for kind, t, ks, _ in rows])
+    pairs = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(t).alias("label"), (F.coalesce(F.col(f"`{kind}:{t}`"), F.lit(0)) >= least).alias("ok")) for kind, t, _, least in rows])
+    found = sums.select(F.explode(pairs).alias("p")).select("p.*").filter("ok").select("kind", "label", F.lit(False).alias("in_base"))
+    base = ontology(spark, {"Person": "a human", "Turbine": "a machine"}, "type").unionByName(ontology(spark, {"USES": "", "OWNS": ""}, "relation"))
+    return found.unionByName(base.select("kind", "label", F.lit(True).alias("in_base"))).groupBy("kind", "label").agg(F.max("in_base").alias("in_base"))
 
 
 @query("keyword_gate", "SELECT doc_id FROM documents WHERE contains(text, 'MW') OR contains(text, 'the ') OR regexp_matches(text, 'net|out') OR lang IN ('de')")
@@ -170,12 +191,14 @@ def both_sources(spark, sf_dir):
 
 
 @query("shared_word_pairs", rf"""WITH w AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest({WORDS.format(c='text')}) AS w FROM benchmark) WHERE length(w) > 4)
-SELECT DISTINCT a.item_id AS a, b.item_id AS b FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id JOIN w ON w.item_id = a.item_id AND contains(lower(b.text), w.w)""")
+SELECT DISTINCT a.item_id AS a, b.item_id AS b FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id JOIN w ON w.item_id = a.item_id AND contains(lower(b.text), w.w)
+WHERE b.item_id <> a.item_id + 1""")
 def shared_word_pairs(spark, sf_dir):
-    """A word of more than four letters occurs in the other text."""
+    """Items that are not linked (here: to the next one), though a word of more
+    than four letters of the first occurs in the other text."""
     b = load(spark, sf_dir, "benchmark")
-    w = b.select(F.col("item_id").alias("a"), F.explode(F.array_distinct(X.words(F.col("text")))).alias("w")).filter(F.length("w") > 4)
-    return w.join(b.select(F.col("item_id").alias("b"), F.lower("text").alias("t")), (F.col("a") < F.col("b")) & F.contains("t", "w")).select("a", "b").distinct()
+    linked = b.select(F.col("item_id").alias("a"), (F.col("item_id") + 1).alias("b"))
+    return missing_pairs(b.select(F.col("item_id").alias("id"), "text"), linked)
 
 
 @query("shared_token_pairs", rf"""WITH w AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest({WORDS.format(c='text')}) AS w FROM benchmark) WHERE length(w) > 4)
@@ -186,14 +209,16 @@ def shared_token_pairs(spark, sf_dir):
     return w.select(F.col("item_id").alias("a"), "w").join(w.select(F.col("item_id").alias("b"), "w"), "w").filter("a < b").select("a", "b").distinct()
 
 
-@query("label_similarity", "SELECT a.n_name AS a, b.n_name AS b, round(1 - levenshtein(a.n_name, b.n_name) / greatest(length(a.n_name), length(b.n_name)), 6) AS sim FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey WHERE 1 - levenshtein(a.n_name, b.n_name) / greatest(length(a.n_name), length(b.n_name)) > 0.4")
+@query("label_similarity", """WITH l AS (SELECT DISTINCT p_brand AS category, p_name AS label FROM part)
+SELECT a.category, a.label AS a, b.label AS b, round(1 - levenshtein(a.label, b.label) / greatest(length(a.label), length(b.label)), 6) AS sim FROM l a JOIN l b ON a.category = b.category AND a.label < b.label
+WHERE 1 - levenshtein(a.label, b.label) / greatest(length(a.label), length(b.label)) > 0.7""")
 def label_similarity(spark, sf_dir):
-    """Pairs pruned by length before the distance."""
-    n = load(spark, sf_dir, "nation")
-    a, b = n.select(F.col("n_nationkey").alias("i"), F.col("n_name").alias("a")), n.select(F.col("n_nationkey").alias("j"), F.col("n_name").alias("b"))
+    """Labels of one category above 0.7, pairs pruned by length before the distance."""
+    n = load(spark, sf_dir, "part").select(F.col("p_brand").alias("category"), F.col("p_name").alias("label")).distinct()
     longest = F.greatest(F.length("a"), F.length("b"))
     sim = 1 - F.levenshtein("a", "b") / longest
-    return a.join(b, (F.col("i") < F.col("j")) & (F.abs(F.length("a") - F.length("b")) < 0.6 * longest)).select("a", "b", F.round(sim, 6).alias("sim"), sim.alias("s")).filter("s > 0.4").drop("s")
+    met = n.toDF("category", "a").join(n.toDF("category", "b"), "category").filter((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) < 0.3 * longest))
+    return met.select("category", "a", "b", F.round(sim, 6).alias("sim"), sim.alias("s")).filter("s > 0.7").drop("s")
 
 
 @query("name_cascade", """WITH c AS (SELECT p_partkey, p_name, CASE WHEN lower(p_name) = 'red wodget' THEN 1 WHEN levenshtein(lower(p_name), 'red wodget') <= 2 THEN 2 WHEN contains(lower(p_name), 'red wodget') THEN 3 END AS tier FROM part)

@@ -11,39 +11,25 @@ from ..operators import vectors as V
 from ..sources.tables import load
 from .registry import query
 
-#: Rows with an id divisible by this are the query set of the searches named ..._all.
+#: Rows with an id divisible by this are the query set of the searches.
 QUERY_STEP = 20
 
 COS = "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
 
 
 @query("knn_top5", f"""SELECT query_id, item_id, score, rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {COS} AS score,
- row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 20) WHERE rank <= 5""")
+ row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) WHERE rank <= 5""")
 def knn_top5(spark, sf_dir):
-    """V2, V4, O1: the twenty first vectors are the query set."""
+    """V2, V4, O1."""
     e = load(spark, sf_dir, "embeddings")
-    return V.knn(e.filter("vec_id < 20"), e, 5)
+    return V.knn(e.filter(F.col("vec_id") % QUERY_STEP == 0), e, 5)
 
 
 @query("knn_threshold", f"""SELECT query_id, item_id, score FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {COS} AS score,
- row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 50) WHERE rank = 1 AND score > 0.3""")
+ row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) WHERE rank = 1 AND score > 0.3""")
 def knn_threshold(spark, sf_dir):
     """V3: the best match if it is good enough."""
     e = load(spark, sf_dir, "embeddings")
-    return V.knn(e.filter("vec_id < 50"), e, 1).filter("score > 0.3").select("query_id", "item_id", "score")
-
-
-@query("knn_top5_all")
-def knn_top5_all(spark, sf_dir):
-    """V2, V4, O1 for the whole query set: every id divisible by QUERY_STEP."""
-    e = load(spark, sf_dir, "embeddings")
-    return V.knn(e.filter(F.col("vec_id") % QUERY_STEP == 0), e, 5)
-
-
-@query("knn_threshold_all")
-def knn_threshold_all(spark, sf_dir):
-    """V3 for the whole query set."""
-    e = load(spark, sf_dir, "embeddings")
     return V.knn(e.filter(F.col("vec_id") % QUERY_STEP == 0), e, 1).filter("score > 0.3").select("query_id", "item_id", "score")
 
 
@@ -135,17 +121,11 @@ def resolution_groups(spark, sf_dir):
 
 
 @query("knn_onehop", f"""WITH k AS (SELECT query_id, item_id, score, rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS rank
- FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 10) WHERE rank <= 5),
+ FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) WHERE rank <= 5),
 l AS (SELECT i.vec_id AS item_id, o.vec_id AS other FROM embeddings i JOIN embeddings o ON i.label = o.label AND i.vec_id <> o.vec_id AND abs(i.vec_id - o.vec_id) <= 25)
 SELECT query_id, k.item_id, score, rank, count(other) AS n_links, coalesce(string_agg(CAST(other AS VARCHAR), ',' ORDER BY other), '') AS linked FROM k LEFT JOIN l USING(item_id) GROUP BY 1, 2, 3, 4""")
 def knn_onehop(spark, sf_dir):
     """Nearest neighbours with their links."""
-    return _onehop(load(spark, sf_dir, "embeddings"), F.col("vec_id") < 10)
-
-
-@query("knn_onehop_all")
-def knn_onehop_all(spark, sf_dir):
-    """R3, J3 for the whole query set."""
     return _onehop(load(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_STEP == 0)
 
 

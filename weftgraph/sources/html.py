@@ -7,10 +7,13 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import clean_text
 
 # Elements that are dropped, and where content is looked for, in order.
 DROPPED = ("script", "style", "nav", "footer", "header")
-SELECTORS = ("main", "article", ".content", "#content", ".main-content", "#main-content", ".page-content", ".body-content")
+SELECTORS = ("main", "article", '[role="main"]', ".main-content", ".content", "#content", ".page-content", ".article-content")
 MIN_CHARS = 100
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -27,7 +30,7 @@ class _Collector(HTMLParser):
         if tag in VOID:
             return
         a = dict(attrs)
-        names = {tag, *("." + c for c in (a.get("class") or "").split()), "#" + (a.get("id") or "")}
+        names = {tag, *("." + c for c in (a.get("class") or "").split()), "#" + (a.get("id") or ""), f'[role="{a.get("role") or ""}"]'}
         self.stack.append((tag, [i for i, s in enumerate(SELECTORS) if s in names and i not in self.found]))
         for i in self.stack[-1][1]:
             self.found[i] = []
@@ -48,19 +51,19 @@ class _Collector(HTMLParser):
                 self.found[i].append(data.strip())
 
 
-def content(page: str | None) -> str | None:
+def content(page: str | None) -> str:
     p = _Collector()
     p.feed(page or "")
     text = "\n".join(next((p.found[i] for i in range(len(SELECTORS)) if p.found.get(i)), p.body))
-    return text if len(text) >= MIN_CHARS else None
+    return text
 
 
 def main_content(pages: DataFrame) -> DataFrame:
-    """page_id, url, content of pages with at least 100 characters of it."""
+    """page_id, url, cleaned content of pages with at least 100 characters of it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = pdf[["page_id", "url"]].assign(content=[content(h) for h in pdf["html"]])
-            yield out[out["content"].notna()]
+            yield pdf[["page_id", "url"]].assign(content=[content(h) for h in pdf["html"]])
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, content string")
+    found = pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, content string")
+    return found.withColumn("content", clean_text(F.col("content"))).filter(F.length("content") >= MIN_CHARS)
