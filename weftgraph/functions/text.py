@@ -222,14 +222,26 @@ def source_type(c: Column) -> Column:
         low.isin("entity", "graph", "graph_lookup", "neo4j"), "graph").otherwise(F.coalesce(low, F.lit("unknown")))
 
 
-def contains_ci(c: Column, part: Column) -> Column:
-    """Case-insensitive literal containment."""
-    return F.contains(F.lower(c), F.lower(part))
-
-
 def looks_like_query(c: Column) -> Column:
     """Has MATCH and RETURN, balanced brackets and no code fence."""
     ok = F.contains(F.upper(c), F.lit("MATCH")) & F.contains(F.upper(c), F.lit("RETURN")) & ~F.contains(c, F.lit("```"))
     for a, b in ("()", "[]", "{}"):
         ok = ok & (count_of(c, a) == count_of(c, b))
     return ok
+
+
+def print_step(thought: Column, action: Column, action_input: Column, observation: Column) -> Column:
+    """F32: one step of a trace as text; parts that are null are left out."""
+    return F.concat_ws(
+        "\n", F.concat(F.lit("Thought: "), thought), F.concat(F.lit("Action: "), action),
+        F.when(action.isNotNull(), F.concat(F.lit("Action Input: "), action_input)), F.concat(F.lit("Observation: "), observation))
+
+
+def parse_trace(c: Column) -> Column:
+    """F32: the steps of a printed trace: thought, action, observation each (empty
+    where a step has none), by the labels that start its lines."""
+    def part(step: Column, label: str) -> Column:
+        return F.trim(F.regexp_extract(step, rf"(?m)^{label}: (.*)$", 1))
+
+    steps = F.filter(F.split(c, r"\n\n(?=Thought: )"), lambda s: s.startswith("Thought: "))
+    return F.transform(steps, lambda s: F.struct(part(s, "Thought").alias("thought"), part(s, "Action").alias("action"), part(s, "Observation").alias("observation")))

@@ -7,21 +7,17 @@ their state in checkpoints, so plans stay short however deep the walk.
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import shared_folder
+
 
 def _keep(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder; a folder is made only in local mode."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="weftgraph-"))
+    """Checkpoint into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

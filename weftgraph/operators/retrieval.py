@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import keywords, words
+from ..functions.text import keywords, print_step, words
 from .graph import top_per_group, undirected
 
 
@@ -120,3 +120,20 @@ def rerank(pairs: DataFrame, scorer=None) -> DataFrame:
 def compress(context: Column, passthrough: int = 500, most: int = 1000) -> Column:
     """Short texts pass, long ones are cut."""
     return F.when(F.length(context) < passthrough, context).otherwise(F.substring(context, 1, most))
+
+
+def render_chat(turns: DataFrame, system: str) -> DataFrame:
+    """F32: (conv_id, prompt) of user and assistant turns (conv_id, turn, role,
+    text) in the chat template; assistant turns without text are left out."""
+    said = turns.filter((F.col("role") == "user") | ((F.col("role") == "assistant") & (F.col("text") != "")))
+    line = F.concat(F.lit("<|im_start|>"), F.col("role"), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("<|im_end|>"))
+    g = said.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"))
+    head = F.lit(f"<|im_start|>system\n{system}<|im_end|>")
+    return g.select("conv_id", F.concat_ws("\n", head, F.transform("l", lambda x: x["line"])).alias("prompt"))
+
+
+def print_traces(steps: DataFrame) -> DataFrame:
+    """F32: (conv_id, trace) of steps (conv_id, turn, thought, action, action_input, observation)."""
+    one = print_step(F.col("thought"), F.col("action"), F.col("action_input"), F.col("observation"))
+    g = steps.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", one.alias("step")))).alias("l"))
+    return g.select("conv_id", F.concat_ws("\n\n", F.transform("l", lambda x: x["step"]), F.lit("Thought: done\nFinal Answer: done")).alias("trace"))

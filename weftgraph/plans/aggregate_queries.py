@@ -336,8 +336,8 @@ def upsert_max_conf(spark, sf_dir):
 @query("history_accumulate", "SELECT conv_id, string_agg(text, ' | ' ORDER BY turn) AS description, count(*) AS extraction_count, count(DISTINCT role) AS labels FROM conversations GROUP BY 1")
 def history_accumulate(spark, sf_dir):
     """K5, K6."""
-    c = load(spark, sf_dir, "conversations").withColumn("t10", F.col("text"))
-    return U.accumulate(c, ["conv_id"], "t10", "role", "turn").select("conv_id", "description", "extraction_count", F.size("label_history").cast("long").alias("labels"))
+    c = load(spark, sf_dir, "conversations")
+    return U.accumulate(c, ["conv_id"], "text", "role", "turn").select("conv_id", "description", "extraction_count", F.size("label_history").cast("long").alias("labels"))
 
 
 @query("label_counter", "SELECT event_type AS label, CAST(user_id % 3 AS BIGINT) AS category, count(*) AS uses, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY 1, 2")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as X
+from ..operators.retrieval import compress
 from ..sources.tables import load
 from .registry import query
 from .text_queries import WORDS, _in, _list
@@ -65,16 +66,10 @@ def claims_split(spark, sf_dir):
 REJ = f"list_filter({_list(S.REJECTION)}, lambda p: contains(lower(t), p))"
 
 
-@query("rejection_detect", f"""WITH a AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'I cannot answer; unable to determine. ' WHEN 1 THEN 'No data found: ' ELSE 'According to the text ' END || left(text, 100) AS t, (doc_id % 10) / 10.0 AS conf FROM documents),
+@query("rejection_detect", f"""WITH a AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'I cannot answer; unable to determine. ' WHEN 1 THEN 'No data found: ' ELSE 'According to the text ' END || text AS t, (doc_id % 10) / 10.0 AS conf FROM documents),
 n AS (SELECT doc_id, conf, len({REJ}) AS n, len(list_filter({_list(S.CONFIDENCE)}, lambda p: contains(lower(t), p))) AS s FROM a)
 SELECT doc_id, CASE WHEN conf < 0.2 THEN true WHEN s > 0 AND conf > 0.7 THEN false ELSE n >= 2 OR (n >= 1 AND conf < 0.5) END AS rejected, round(CASE WHEN conf < 0.2 THEN greatest(least(n / 5.0, 1.0), 0.8) ELSE least(n / 5.0, 1.0) END, 6) AS strength FROM n""")
 def rejection_detect(spark, sf_dir):
-    """E4, on the first 100 characters like its SQL; ``rejection_detect_whole`` has the whole text."""
-    return _rejections(load(spark, sf_dir, "documents"), F.substring("text", 1, 100))
-
-
-@query("rejection_detect_whole")
-def rejection_detect_whole(spark, sf_dir):
     """Phrases anywhere in the text."""
     return _rejections(load(spark, sf_dir, "documents"), F.col("text"))
 
@@ -159,15 +154,9 @@ def overlap_ratio(spark, sf_dir):
     return g.select("k", F.round(S.overlap_ratio(F.col("p"), F.col("g")), 6).alias("ratio"))
 
 
-@query("context_overlap", f"""WITH c AS (SELECT conv_id, list(left(text, 40) ORDER BY turn) AS r FROM conversations GROUP BY 1), t AS (SELECT conv_id, [left(text, 20)] AS t FROM conversations WHERE turn = 0)
+@query("context_overlap", f"""WITH c AS (SELECT conv_id, list(text ORDER BY turn) AS r FROM conversations GROUP BY 1), t AS (SELECT conv_id, [text] AS t FROM conversations WHERE turn = 0)
 SELECT conv_id, round(len(list_filter(r, lambda x: contains(lower(x), lower(t[1])) OR contains(lower(t[1]), lower(x)))) / len(r), 6) AS precision, CASE WHEN contains(lower(array_to_string(r, ' ')), lower(t[1])) THEN 1.0 ELSE 0.0 END AS recall FROM c JOIN t USING(conv_id)""")
 def context_overlap(spark, sf_dir):
-    """E5, on prefixes like its SQL; ``context_overlap_whole`` has the whole texts."""
-    return _context_overlap(load(spark, sf_dir, "conversations"), F.substring("text", 1, 40), F.substring("text", 1, 20))
-
-
-@query("context_overlap_whole")
-def context_overlap_whole(spark, sf_dir):
     """E5: whole contexts against the whole truth."""
     return _context_overlap(load(spark, sf_dir, "conversations"), F.col("text"), F.col("text"))
 
@@ -210,6 +199,25 @@ def update_action(spark, sf_dir):
     return load(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(S.update_action(F.avg("c_acctbal") / 9000, 0.5, 0.45).alias("action"))
 
 
+@query("compression_bands", "SELECT doc_id, length(c) AS n, length(c) / greatest(length(text), 1) BETWEEN 0.1 AND 0.4 AS in_band FROM (SELECT doc_id, text, CASE WHEN length(text) < 500 THEN text ELSE left(text, 1000) END AS c FROM documents)")
+def compression_bands(spark, sf_dir):
+    """Compressed contexts and whether their ratio is in the band."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "text", compress(F.col("text")).alias("c"))
+    return d.select("doc_id", F.length("c").alias("n"), S.compression_band(F.length("text"), F.length("c")).alias("in_band"))
+
+
+@query("tool_scores", """SELECT item_id, tool, CASE WHEN contains(q, 'what is') AND tool = 'graph_lookup' THEN 0.9 WHEN contains(q, 'latest') AND tool = 'web_search' THEN 0.9 WHEN contains(q, 'latest') AND tool = 'graph_lookup' THEN 0.5 WHEN contains(q, 'who') AND tool = 'graph_lookup' THEN 0.8 ELSE 0.7 END AS score,
+ 2 + CASE WHEN n > 0 THEN greatest(1, n // 3) ELSE 0 END + CASE WHEN m > 0 THEN greatest(1, m // 2) ELSE 0 END AS steps
+FROM (SELECT item_id, lower(CASE item_id % 4 WHEN 0 THEN 'What is ' WHEN 1 THEN 'Latest ' WHEN 2 THEN 'Who ' ELSE '' END || text) AS q, item_id % 8 AS n, item_id % 5 AS m FROM benchmark), (VALUES ('graph_lookup'), ('web_search')) t(tool)
+WHERE NOT contains(q, 'define') AND NOT contains(q, 'current')""")
+def tool_scores(spark, sf_dir):
+    """How well a tool suits a question, and the steps it should take."""
+    lead = F.element_at(F.array(*[F.lit(x) for x in ("What is ", "Latest ", "Who ", "")]), (F.col("item_id") % 4 + 1).cast("int"))
+    b = load(spark, sf_dir, "benchmark").select("item_id", F.lower(F.concat(lead, "text")).alias("q"), F.explode(F.array(F.lit("graph_lookup"), F.lit("web_search"))).alias("tool"))
+    b = b.filter(~F.contains("q", F.lit("define")) & ~F.contains("q", F.lit("current")))
+    return b.select("item_id", "tool", S.tool_score(F.col("q"), F.col("tool")).alias("score"), S.estimated_steps(F.col("item_id") % 8, F.col("item_id") % 5).alias("steps"))
+
+
 @query("conversation_filter", "SELECT conv_id, count(*) AS turns, bool_or(role = 'system') AS has_system FROM conversations GROUP BY 1 HAVING count(*) >= 4")
 def conversation_filter(spark, sf_dir):
     """D4."""
@@ -223,9 +231,11 @@ def context_items(spark, sf_dir):
     return c.select("conv_id", "turn", F.substring("text", 1, 100).alias("content"), F.when(F.col("role") == "user", "graph").otherwise("citation").alias("kind"))
 
 
-@query("preference_pairs")
+@query("preference_pairs", rf"""WITH {QA}, k AS (SELECT *, CASE WHEN right(md5(CAST(conv_id AS VARCHAR)), 1) IN ('0','2','4','6','8','a','c','e') THEN 'wrong_number' ELSE 'swap_words' END AS kind FROM qa)
+SELECT conv_id, answer AS chosen, CASE kind WHEN 'wrong_number' THEN regexp_replace(answer, '\d', '7', 'g') ELSE regexp_replace(answer, '^(\S+) (\S+)', '\2 \1') END AS rejected, kind FROM k""")
 def preference_pairs(spark, sf_dir):
     """Faithful and perturbed answers: years shifted, words swapped."""
-    kind = F.when(F.pmod(F.xxhash64("conv_id"), F.lit(2)) == 0, "wrong_number").otherwise("swap_words")
+    last = F.right(F.md5(F.col("conv_id").cast("string")), F.lit(1))
+    kind = F.when(last.isin(*"02468ace"), "wrong_number").otherwise("swap_words")
     bad = F.when(kind == "wrong_number", F.regexp_replace("answer", r"\d", "7")).otherwise(F.regexp_replace("answer", r"^(\S+) (\S+)", "$2 $1"))
     return qa(spark, sf_dir).select("conv_id", F.col("answer").alias("chosen"), bad.alias("rejected"), kind.alias("kind"))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text as X
 from ..operators.graph import top_per_group
-from ..operators.retrieval import missing_pairs
+from ..functions.vectors import sigmoid
+from ..operators.retrieval import missing_pairs, print_traces, render_chat
+from ..operators.vectors import name_similarity
 from ..sources.config import ontology
 from ..sources.tables import load
 from .registry import query
@@ -113,7 +115,7 @@ def normalized_names(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", X.relation_type(F.col("p_name")).alias("rel"), X.relation_key(F.col("p_name")).alias("key"))
 
 
-@query("title_names")
+@query("title_names", "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS name, left(p_type, 30) AS label FROM part")
 def title_names(spark, sf_dir):
     """F1, F4."""
     return load(spark, sf_dir, "part").select("p_partkey", X.title_case(F.col("p_name")).alias("name"), X.clean_label(F.concat(F.lit("**Type**: "), F.col("p_type"))).alias("label"))
@@ -312,14 +314,8 @@ def raptor_tree(spark, sf_dir):
     return leaves.unionByName(clusters).unionByName(roots)
 
 
-@query("chat_messages", "SELECT doc_id, 'Extract a graph.' AS system, left(text, 200) AS user_text, CASE WHEN length(text) < 600 THEN 'short' WHEN length(text) < 1500 THEN 'medium' ELSE 'long' END AS template FROM documents WHERE length(text) >= 50")
+@query("chat_messages", "SELECT doc_id, 'Extract a graph.' AS system, text AS user_text, CASE WHEN length(text) < 600 THEN 'short' WHEN length(text) < 1500 THEN 'medium' ELSE 'long' END AS template FROM documents WHERE length(text) >= 50")
 def chat_messages(spark, sf_dir):
-    """D1, D2, D3, D18, K16, on the first 200 characters like its SQL; ``chat_messages_whole`` has the whole text."""
-    return _messages(load(spark, sf_dir, "documents"), F.substring("text", 1, 200))
-
-
-@query("chat_messages_whole")
-def chat_messages_whole(spark, sf_dir):
     """The user message holds the whole text."""
     return _messages(load(spark, sf_dir, "documents"), F.col("text"))
 
@@ -339,10 +335,81 @@ def first_chunks(spark, sf_dir):
 
 @query("type_mapping", "SELECT p_partkey, CASE WHEN p_brand IN ('Brand#2','Brand#17') THEN p_brand WHEN p_type IN ('Brand#2','Brand#17') THEN p_type ELSE p_brand END AS t FROM part")
 def type_mapping(spark, sf_dir):
-    """F29, F31."""
+    """F29."""
     return load(spark, sf_dir, "part").select("p_partkey", X.ontology_type(F.array("p_brand", "p_type"), ("Brand#2", "Brand#17")).alias("t"))
 
 
+@query("source_types", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'wiki' WHEN 1 THEN 'web' WHEN 2 THEN 'graph' ELSE coalesce(lower(source), 'unknown') END AS kind FROM documents")
+def source_types(spark, sf_dir):
+    """source names brought to their canonical form."""
+    given = F.when(F.col("doc_id") % 4 == 0, "Wikipedia").when(F.col("doc_id") % 4 == 1, "web_search").when(F.col("doc_id") % 4 == 2, "Neo4j").otherwise(F.col("source"))
+    return load(spark, sf_dir, "documents").select("doc_id", X.source_type(given).alias("kind"))
+
+
+@query("name_scores", """SELECT a.p_partkey, round(CASE WHEN n = 'red widget' THEN 1.0 WHEN contains(n, 'red widget') OR contains('red widget', n) THEN 0.85 ELSE len(list_intersect(string_split(n, ' '), ['red','widget'])) / len(list_distinct(list_concat(string_split(n, ' '), ['red','widget']))) END, 6) AS score
+FROM (SELECT p_partkey, lower(p_name) AS n FROM part) a""")
+def name_scores(spark, sf_dir):
+    """Names against a mention: equal, contained, or by shared words."""
+    return load(spark, sf_dir, "part").select("p_partkey", F.round(name_similarity(F.col("p_name"), F.lit("Red widget")), 6).alias("score"))
+
+
+@query("query_texts", """SELECT p_partkey, p_partkey % 5 IN (0, 1) AS valid FROM part""")
+def query_texts(spark, sf_dir):
+    """Which texts look like a graph query."""
+    forms = ("MATCH (n {name: 'NAME'})-[r]->(m) RETURN m", "match (n) return n.name, 'NAME'", "MATCH (n {name: 'NAME'} RETURN n", "```MATCH (n) RETURN n // NAME```", "DELETE (n) -- NAME")
+    text = F.replace(F.element_at(F.array(*[F.lit(f) for f in forms]), (F.col("p_partkey") % 5 + 1).cast("int")), F.lit("NAME"), F.col("p_name"))
+    return load(spark, sf_dir, "part").select("p_partkey", X.looks_like_query(text).alias("valid"))
+
+
+@query("wiki_titles", "SELECT p_partkey, p_name||' (part)' AS title, 'en.wikipedia.org' AS host FROM part")
+def wiki_titles(spark, sf_dir):
+    """the article and host of a wiki url."""
+    url = F.concat(F.lit("https://EN.wikipedia.org/wiki/"), F.url_encode(F.replace(F.concat("p_name", F.lit(" (part)")), F.lit(" "), F.lit("_"))), F.lit("?action=view"))
+    return load(spark, sf_dir, "part").select("p_partkey", X.wiki_title(url).alias("title"), X.domain(url).alias("host"))
+
+
+@query("number_functions", """SELECT p_partkey, round(ln(p_retailprice), 6) AS ln_price, round(exp(-p_size / 10.0), 6) AS decay, round(1 / (1 + exp(-p_size / 10.0)), 6) AS squashed, greatest(0.0, least(1.0, p_size / 40.0)) AS clamped, round(100.0 * p_size / (SELECT sum(p_size) FROM part), 6) AS percent FROM part""")
+def number_functions(spark, sf_dir):
+    """logarithm, exponential, sigmoid, clamp and share of the whole."""
+    size = F.col("p_size").cast("double")
+    total = F.sum("p_size").over(Window.partitionBy())
+    return load(spark, sf_dir, "part").select(
+        "p_partkey", F.round(F.log("p_retailprice"), 6).alias("ln_price"), F.round(F.exp(-size / 10), 6).alias("decay"), F.round(sigmoid(size / 10), 6).alias("squashed"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), size / 40)).alias("clamped"), F.round(100 * size / total, 6).alias("percent"))
+
+
+@query("section_pieces", "SELECT item_id, i AS pos, trim(CASE i WHEN 0 THEN text ELSE '## Part '||i||chr(10)||left(text, 40) END) AS piece FROM benchmark, (VALUES (0), (1), (2)) t(i)")
+def section_pieces(spark, sf_dir):
+    """a text cut before its level-two headings."""
+    part = lambda i: F.concat(F.lit(f"## Part {i}\n"), F.substring("text", 1, 40))
+    whole = F.concat(F.col("text"), F.lit("\n"), part(1), F.lit("\n"), part(2))
+    return load(spark, sf_dir, "benchmark").select("item_id", F.posexplode(X.sections(whole)).alias("pos", "piece")).withColumn("piece", F.trim(F.regexp_replace("piece", r"\s+$", "")))
+
+
+@query("first_paragraphs")
+def first_paragraphs(spark, sf_dir):
+    """the first paragraph of some length that is no heading."""
+    return load(spark, sf_dir, "documents").select("doc_id", X.first_paragraph(F.regexp_replace("text", r"\n", "\n\n"), 300).alias("paragraph"))
+
+
+@query("agent_prompts", r"""SELECT conv_id, '<|im_start|>system'||chr(10)||'You answer from the graph.<|im_end|>'||chr(10)||string_agg('<|im_start|>'||role||chr(10)||text||'<|im_end|>', chr(10) ORDER BY turn) AS prompt
+FROM conversations WHERE role IN ('user', 'assistant') AND NOT (role = 'assistant' AND text = '') GROUP BY 1""")
+def agent_prompts(spark, sf_dir):
+    """F32: turns in the chat template, system prompt first."""
+    return render_chat(load(spark, sf_dir, "conversations"), "You answer from the graph.").select("conv_id", "prompt")
+
+
+@query("agent_traces", r"""SELECT conv_id, count(*) AS steps, md5(string_agg(text, '|' ORDER BY turn)) AS thoughts FROM (SELECT conv_id, turn, replace(text, chr(10), ' ') AS text FROM conversations WHERE role = 'user') GROUP BY 1""")
+def agent_traces(spark, sf_dir):
+    """F32: traces printed as text and parsed again."""
+    c = load(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.replace("text", F.lit("\n"), F.lit(" ")).alias("thought"))
+    steps = c.withColumns({"action": F.lit("graph_lookup"), "action_input": F.to_json(F.struct("turn")), "observation": F.lit("found")})
+    parsed = X.parse_trace(F.col("trace"))
+    back = print_traces(steps).select("conv_id", F.posexplode(parsed).alias("pos", "s")).filter("s.thought <> 'done'")
+    g = back.groupBy("conv_id").agg(F.count("*").alias("steps"), F.array_sort(F.collect_list(F.struct("pos", F.col("s.thought").alias("t")))).alias("l"))
+    return g.select("conv_id", "steps", F.md5(F.array_join(F.transform("l", lambda x: x["t"]), "|")).alias("thoughts"))
+
+
 @query("context_lines", "SELECT n_regionkey, string_agg(line, chr(10) ORDER BY line) AS context FROM (SELECT n_regionkey, '- '||n_name AS line, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS r FROM nation) WHERE r <= 8 GROUP BY 1")
 def context_lines(spark, sf_dir):
     """F30, R2."""

@@ -57,9 +57,9 @@ def trust_match(hosts: DataFrame, table: DataFrame, blocked: DataFrame, host_col
 
     names = hosts.select(host_col).distinct()
     p = F.col("pattern")
-    bad = names.join(F.broadcast(blocked.select("pattern")), sub(p), "left_semi").withColumn("__bad", F.lit(True))
+    bad = names.join(blocked.select("pattern"), sub(p), "left_semi").withColumn("__bad", F.lit(True))
     hit = F.when(F.col("match_type") == "suffix", F.col(host_col).endswith(p)).when(F.col("match_type") == "contains", F.contains(F.col(host_col), p)).otherwise(sub(p))
-    first = names.join(F.broadcast(table), hit).groupBy(host_col).agg(F.min(F.struct("ord", "level", "category")).alias("m"))
+    first = names.join(table, hit).groupBy(host_col).agg(F.min(F.struct("ord", "level", "category")).alias("m"))
     out = hosts.join(bad, host_col, "left").join(first, host_col, "left")
     ok = F.col("__bad").isNull() & F.col("m").isNotNull()
     return out.select(*hosts.columns, ok.alias("trusted"), F.when(ok, F.col("m.level")).alias("level"), F.when(ok, F.col("m.category")).alias("category"))
@@ -96,3 +96,29 @@ def sitemap_index(pages: DataFrame, xml_col: str = "xml") -> DataFrame:
     """The sitemaps that a sitemap index names, for the next round of reading."""
     plain = F.regexp_replace(xml_col, r"\sxmlns(:\w+)?=\"[^\"]*\"", "")
     return pages.select(F.explode(F.xpath(plain, F.lit("/sitemapindex/sitemap/loc/text()"))).alias("url"))
+
+
+def expand_sitemaps(start: DataFrame, documents: DataFrame, most: int = 10) -> DataFrame:
+    """Url and lastmod of all entries below the sitemaps ``start`` (url), whose
+    text ``documents`` (url, xml) hold; indexes are followed, each sitemap once."""
+    seen, frontier, out = start.select("url").distinct(), start.select("url").distinct(), None
+    for _ in range(most):
+        read = documents.join(frontier, "url", "left_semi")
+        entries = sitemap(read)
+        out = entries if out is None else out.unionByName(entries)
+        frontier = sitemap_index(read).distinct().join(seen, "url", "left_anti").checkpoint()
+        if frontier.isEmpty():
+            return out
+        seen = seen.unionByName(frontier)
+    raise RuntimeError(f"sitemap indexes are nested more than {most} deep")
+
+
+def merge_golden(old: DataFrame, new: DataFrame, key: str = "case_id") -> DataFrame:
+    """Cases of two datasets, the newer one of equal ids."""
+    return new.unionByName(old.join(new.select(key), key, "left_anti"))
+
+
+def named_records(rows: DataFrame, names: list[str], col: str = "row") -> DataFrame:
+    """Positional result rows (an array each) as named columns; positions
+    beyond a row's end are null."""
+    return rows.select(*[F.get(F.col(col), F.lit(i)).alias(n) for i, n in enumerate(names)])

@@ -2,10 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one is made only in local mode."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="weftgraph-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no one else uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Nodes by label and edges by type, the layout that prunes partitions."""
     nodes.write.mode("overwrite").partitionBy("label").parquet(f"{path}/nodes")
