@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..sources.sinks import shared_folder
 
 
-def _keep(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """Checkpoint into the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
@@ -109,13 +109,13 @@ def within_hops(seeds: DataFrame, edges: DataFrame, max_hops: int, cap: int | No
     """Nodes by the least number of undirected hops (level 0 is
     the seeds); ``cap`` keeps the first nodes of a level in id order."""
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct().toDF("node", "next")
-    visited = _keep(seeds.select("node").distinct().withColumn("level", F.lit(0)))
+    visited = kept(seeds.select("node").distinct().withColumn("level", F.lit(0)))
     frontier = visited
     for level in range(1, max_hops + 1):
         new = frontier.select("node").join(both, "node").select(F.col("next").alias("node")).distinct().join(visited, "node", "left_anti")
         if cap is not None:
             new = new.orderBy("node").limit(cap)
-        frontier = _keep(new.withColumn("level", F.lit(level)))
+        frontier = kept(new.withColumn("level", F.lit(level)))
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
@@ -125,13 +125,13 @@ def within_hops(seeds: DataFrame, edges: DataFrame, max_hops: int, cap: int | No
 def bfs_out(seeds: DataFrame, edges: DataFrame, max_depth: int, cap: int | None = None) -> DataFrame:
     """Breadth-first levels along edge direction from each seed: seed, node, level."""
     e = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
-    visited = _keep(seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("level", F.lit(0)))
+    visited = kept(seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("level", F.lit(0)))
     frontier = visited
     for level in range(1, max_depth + 1):
         new = frontier.join(e, "node").select("seed", F.col("next").alias("node")).distinct().join(visited, ["seed", "node"], "left_anti")
         if cap is not None:
             new = top_per_group(new, ["seed"], [F.col("node")], cap)
-        frontier = _keep(new.withColumn("level", F.lit(level)))
+        frontier = kept(new.withColumn("level", F.lit(level)))
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
@@ -211,7 +211,7 @@ def modularity(pairs: DataFrame, partition: DataFrame, resolution: float = 1.0)
 def label_propagation(pairs: DataFrame, rounds: int = 8) -> DataFrame:
     """Communities by synchronous weighted label propagation, ties to the least
     label, own label counted with the mean weight so that rounds settle."""
-    both = _keep(pairs.select(F.col("u").alias("id"), F.col("v").alias("other"), "weight").union(pairs.select(F.col("v"), F.col("u"), "weight")))
+    both = kept(pairs.select(F.col("u").alias("id"), F.col("v").alias("other"), "weight").union(pairs.select(F.col("v"), F.col("u"), "weight")))
     own = both.groupBy("id").agg(F.avg("weight").alias("weight"))
     labels = both.select("id").distinct().withColumn("community", F.col("id"))
     for _ in range(rounds):
@@ -219,7 +219,7 @@ def label_propagation(pairs: DataFrame, rounds: int = 8) -> DataFrame:
             own.join(labels, "id").select("id", "community", "weight"))
         tally = votes.groupBy("id", "community").agg(F.round(F.sum("weight"), 9).alias("w"))
         best = tally.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), F.col("community"))).alias("b"))
-        labels = _keep(best.select("id", F.col("b.community").alias("community")))
+        labels = kept(best.select("id", F.col("b.community").alias("community")))
     return labels
 
 
@@ -229,8 +229,8 @@ def louvain(pairs: DataFrame, resolution: float = 1.0, levels: int = 3, rounds:
     move to the neighbouring community of the highest modularity gain, ties to the
     least; when a level's moves end or its rounds are used up, its communities
     become the nodes of the next. ``pairs``: u, v, weight."""
-    both = _keep(pairs.select(F.col("u").alias("id"), F.col("v").alias("other"), "weight").union(pairs.select("v", "u", "weight")))
-    strength = _keep(both.groupBy("id").agg(F.sum("weight").alias("k")))
+    both = kept(pairs.select(F.col("u").alias("id"), F.col("v").alias("other"), "weight").union(pairs.select("v", "u", "weight")))
+    strength = kept(both.groupBy("id").agg(F.sum("weight").alias("k")))
     total = strength.agg(F.sum("k").alias("m2")).first()["m2"]
     labels = strength.select("id", F.col("id").alias("community"))
     for level in range(levels):
@@ -248,7 +248,7 @@ def louvain(pairs: DataFrame, resolution: float = 1.0, levels: int = 3, rounds:
                 F.min(F.struct((-F.col("gain")).alias("g"), "c")).alias("b"), F.max(F.when(F.col("c") == F.col("now"), F.col("gain"))).alias("stay"), F.first("k").alias("k"), F.first("now").alias("now"))
             turn = F.pmod(F.xxhash64(F.lit(seed + r), "id"), F.lit(2)) == 0
             move = turn & (-F.col("b.g") > F.col("stay"))
-            state = _keep(best.select("id", "k", F.when(move, F.col("b.c")).otherwise(F.col("now")).alias("c"), move.alias("moved")))
+            state = kept(best.select("id", "k", F.when(move, F.col("b.c")).otherwise(F.col("now")).alias("c"), move.alias("moved")))
             moved = state.agg(F.count_if("moved").alias("n")).first()["n"]
             moved_any = moved_any or moved > 0
             if not moved and r:
@@ -256,10 +256,10 @@ def louvain(pairs: DataFrame, resolution: float = 1.0, levels: int = 3, rounds:
         if not moved_any:
             break
         names = state.select("id", "c")
-        labels = _keep(labels.join(names.toDF("community", "c"), "community").select("id", F.col("c").alias("community")))
+        labels = kept(labels.join(names.toDF("community", "c"), "community").select("id", F.col("c").alias("community")))
         if level + 1 < levels:
-            both = _keep(both.join(names, "id").join(names.toDF("other", "d"), "other").filter("c <> d").groupBy(F.col("c").alias("id"), F.col("d").alias("other")).agg(F.sum("weight").alias("weight")))
-            strength = _keep(state.groupBy(F.col("c").alias("id")).agg(F.sum("k").alias("k")))
+            both = kept(both.join(names, "id").join(names.toDF("other", "d"), "other").filter("c <> d").groupBy(F.col("c").alias("id"), F.col("d").alias("other")).agg(F.sum("weight").alias("weight")))
+            strength = kept(state.groupBy(F.col("c").alias("id")).agg(F.sum("k").alias("k")))
     return labels
 
 
@@ -269,7 +269,7 @@ def of_size(labels: DataFrame, least: int) -> DataFrame:
     return labels.join(big, "community", "left_semi")
 
 
-def components(edges: DataFrame, max_rounds: int = 100, keep: Callable[[DataFrame], DataFrame] = _keep) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 100, keep: Callable[[DataFrame], DataFrame] = kept) -> DataFrame:
     """Connected components by alternating stars: id, component (the
     least id reachable), for every id of ``edges`` (src, dst).
 

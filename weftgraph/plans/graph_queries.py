@@ -21,14 +21,16 @@ def _seeds(spark: SparkSession, *ids: str) -> DataFrame:
 SELECT node, other, rel_type, is_outgoing FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY rel_type, other, is_outgoing) AS r FROM hit) WHERE r <= 20""")
 def one_hop_undirected(spark, sf_dir):
     """J1."""
-    return G.one_hop(_seeds(spark, "customer:1", "nation:3", "part:7"), edges(spark, sf_dir)).select("node", "other", "rel_type", "is_outgoing")
+    seeds = ["customer:1", "nation:3", "part:7"]
+    return G.one_hop(_seeds(spark, *seeds), edges(spark, sf_dir, touching=seeds)).select("node", "other", "rel_type", "is_outgoing")
 
 
 @query("neighbours_distinct", f"""WITH {EDGES_SQL}, {UND}, hit AS (SELECT DISTINCT node, other, rel_type FROM und WHERE node IN ('supplier:1','part:5'))
 SELECT node, other, rel_type FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY rel_type, other) AS r FROM hit) WHERE r <= 30""")
 def neighbours_distinct(spark, sf_dir):
     """J2."""
-    return G.neighbours(_seeds(spark, "supplier:1", "part:5"), edges(spark, sf_dir)).select("node", "other", "rel_type")
+    seeds = ["supplier:1", "part:5"]
+    return G.neighbours(_seeds(spark, *seeds), edges(spark, sf_dir, touching=seeds)).select("node", "other", "rel_type")
 
 
 @query("one_hop_collect", f"""WITH {EDGES_SQL}, {NODES_SQL}, heads AS (SELECT id AS node FROM nodes WHERE label IN ('nation','region','supplier'))
@@ -61,19 +63,19 @@ def _pattern_sql(where: str, limit: int = 20) -> str:
 @query("pattern_out", _pattern_sql("src = 'customer:4' AND rel_type = 'LIVES_IN'"))
 def pattern_out(spark, sf_dir):
     """J5, J9."""
-    return G.pattern("customer:4 -[LIVES_IN]-> ?", edges(spark, sf_dir)).select("src", "dst", "rel_type")
+    return G.pattern("customer:4 -[LIVES_IN]-> ?", edges(spark, sf_dir, touching=["customer:4"])).select("src", "dst", "rel_type")
 
 
 @query("pattern_in", _pattern_sql("dst = 'nation:7' AND rel_type = 'LIVES_IN'"))
 def pattern_in(spark, sf_dir):
     """J6, J9."""
-    return G.pattern("? -[LIVES_IN]-> nation:7", edges(spark, sf_dir)).select("src", "dst", "rel_type")
+    return G.pattern("? -[LIVES_IN]-> nation:7", edges(spark, sf_dir, touching=["nation:7"])).select("src", "dst", "rel_type")
 
 
 @query("pattern_between", _pattern_sql("src = 'part:1' AND dst LIKE 'supplier:%'", 10).replace("dst LIKE 'supplier:%'", "dst = 'supplier:3'"))
 def pattern_between(spark, sf_dir):
     """J7, J9."""
-    return G.pattern("part:1 -[?]-> supplier:3", edges(spark, sf_dir), limit=10).select("src", "dst", "rel_type")
+    return G.pattern("part:1 -[?]-> supplier:3", edges(spark, sf_dir, touching=["part:1"]), limit=10).select("src", "dst", "rel_type")
 
 
 @query("khop_paths", f"""WITH RECURSIVE {EDGES_SQL}, e AS (SELECT DISTINCT * FROM edges WHERE rel_type IN ('PLACED_BY','LIVES_IN','IN_REGION')),
@@ -232,7 +234,7 @@ c AS (SELECT cu, sum(CASE WHEN cu = cv THEN weight ELSE 0 END) AS inside, sum(we
 SELECT round(sum(inside / m2 - (s / m2) * (s / m2)), 6) AS modularity FROM c, t""")
 def modularity_by_key(spark, sf_dir):
     """Modularity of a given partition."""
-    p = _entity_pairs(spark, sf_dir)
+    p = G.kept(_entity_pairs(spark, sf_dir))
     part = p.select(F.col("u").alias("id")).union(p.select("v")).distinct().withColumn("community", F.substring("id", 2, 20).cast("long") % 5)
     return G.modularity(p, part).select(F.round("modularity", 6).alias("modularity"))
 

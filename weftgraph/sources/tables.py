@@ -29,12 +29,25 @@ RELATIONS = {
 }
 
 
-def edges(spark: SparkSession, sf_dir: str, relations: list[str] | None = None) -> DataFrame:
-    """(src, dst, rel_type) of the typed graph; repeated rows of a relation are kept."""
+def edges(spark: SparkSession, sf_dir: str, relations: list[str] | None = None, touching: list[str] | None = None) -> DataFrame:
+    """(src, dst, rel_type) of the typed graph; repeated rows of a relation are kept.
+
+    ``touching`` keeps the edges of some node ids: as conditions on the key columns
+    they reach the Parquet scan, and relations of other kinds of nodes are not read.
+    """
+    keys: dict[str, list[int]] = {}
+    for node in touching or ():
+        kind, _, key = node.partition(":")
+        if key.lstrip("-").isdigit():
+            keys.setdefault(kind, []).append(int(key))
     parts = []
     for rel in relations or list(RELATIONS):
         table, a, ka, b, kb = RELATIONS[rel]
-        parts.append(load(spark, sf_dir, table).select(node_id(a, ka).alias("src"), node_id(b, kb).alias("dst"), F.lit(rel).alias("rel_type")))
+        rows = load(spark, sf_dir, table)
+        if touching is not None:
+            near = [F.col(k).isin(keys[kind]) for kind, k in ((a, ka), (b, kb)) if kind in keys]
+            rows = rows.filter(reduce(Column.__or__, near, F.lit(False)))
+        parts.append(rows.select(node_id(a, ka).alias("src"), node_id(b, kb).alias("dst"), F.lit(rel).alias("rel_type")))
     return reduce(DataFrame.unionByName, parts)
 
 
