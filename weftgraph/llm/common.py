@@ -32,6 +32,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows that pass between JVM and Python at once. Rows here hold whole texts, sets or
+#: images, and both sides hold a batch, the JVM in buffers that it does not give back.
+BATCH_ROWS = 1_000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs started inside pass at most ``BATCH_ROWS`` rows at once to Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: Tables made by :func:`materialize` inside the open scopes, innermost last.
 _SCOPES: list[list[DataFrame]] = []
 
@@ -43,7 +61,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     so later reads prune columns. A lost executor costs a re-read only.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     if _SCOPES:
@@ -101,3 +120,16 @@ def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+_MODEL: list = [None, None]
+
+
+def one_model(key, make: Callable):
+    """What ``make`` gives for ``key``, kept by a worker process until another is asked
+    for: a worker that serves several operators holds the vocabulary of one at a time."""
+    if _MODEL[0] != key:
+        _MODEL[:] = [None, None]
+        gc.collect()
+        _MODEL[:] = [key, make()]
+    return _MODEL[1]

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph
-from .common import drop_scratch, materialize, release, scratch, text_or_empty
+from .common import drop_scratch, materialize, release, scratch, small_batches, text_or_empty
 from .texthash import shingle_set
 
 WORDS = 4
@@ -61,6 +61,13 @@ def _raw(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time, so that few sets are held at once."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def digest(s: np.ndarray) -> tuple[int, int]:
     h = hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest()
     return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
@@ -84,7 +91,7 @@ def sketch(texts: DataFrame, words: int, bits: int) -> np.ndarray:
             if held:
                 total[:] += np.bincount(np.concatenate(held), minlength=size)
 
-        for batch in batches:
+        for batch in _slices(batches):
             for text in batch.column(0).to_pylist():
                 s = shingle_set(_raw(text), words)
                 held.append((s & np.uint64(size - 1)).astype(np.int64))
@@ -113,7 +120,8 @@ def sketch(texts: DataFrame, words: int, bits: int) -> np.ndarray:
 
     schema = "at long, counts binary"
     spread = max(1, min(size // block, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    rows = texts.mapInArrow(count, schema).repartition(spread, "at").mapInArrow(merge, schema).collect()
+    with small_batches(texts.sparkSession):
+        rows = texts.mapInArrow(count, schema).repartition(spread, "at").mapInArrow(merge, schema).collect()
     out = np.zeros(size, dtype=np.uint32)
     for r in rows:
         out[r["at"] : r["at"] + block] += np.frombuffer(bytes(r["counts"]), "<u4")
@@ -151,7 +159,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, words: int, num: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
-        for batch in batches:
+        for batch in _slices(batches):
             cols: list[list] = [[], [], [], [], [], []]
             for text in batch.column(1).to_pylist():
                 s = shingle_set(_raw(text), words)
@@ -215,7 +223,7 @@ def exact(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_
     texts = src.join(F.broadcast(buckets), "bucket", "left_semi").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingle_set(_raw(t), words) for t in batch.column(1).to_pylist()]
             marks = [digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(

@@ -19,7 +19,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 2**64)
 GRAM = _rng.integers(1, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
 #: Bytes of text that are hashed at once; the arrays take about 50 bytes for each.
-STRETCH = 1 << 20
+STRETCH = 1 << 17
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
