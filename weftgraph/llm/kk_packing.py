@@ -130,13 +130,14 @@ def pack(
         base = TaskContext.get().partitionId() << 36
         after: tuple | None = None  # the place that goes on from the last row
         sequences = 0
-        waiting: list[tuple] = []  # (doc, start, bytes, doc_tokens)
+        waiting: list[tuple] = []  # (doc, start, piece, doc_tokens)
         held = 0
 
         def emit(rows: list[tuple]) -> pa.RecordBatch:
-            doc, start, raw, total, seq, offset = zip(*rows)
-            cols = [pa.array(doc, id_type), pa.array(start, pa.int64()), pa.array([len(r) // 4 for r in raw], pa.int64()),
-                    pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array(total, pa.int64()),
+            doc, start, pieces, total, seq, offset = zip(*rows)
+            length, crc, raw = zip(*pieces)
+            cols = [pa.array(doc, id_type), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
+                    pa.array(crc, pa.int64()), pa.array(total, pa.int64()),
                     pa.array(seq, pa.int64()), pa.array(offset, pa.int64())]
             names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             if with_ids:
@@ -144,15 +145,20 @@ def pack(
                 names.append("ids")
             return pa.RecordBatch.from_arrays(cols, names=names)
 
+        def piece_of(raw: bytes, at: int, n: int) -> tuple[int, int, bytes | None]:
+            """Length, checksum and, where they are wanted, the ids: waiting pieces hold no more."""
+            part = raw[4 * at : 4 * (at + n)]
+            return n, zlib.crc32(part), part if with_ids else None
+
         def close() -> list[tuple]:
             nonlocal sequences
             rows = []
-            for _, members in split_group([len(w[2]) // 4 for w in waiting], capacity):
+            for _, members in split_group([w[2][0] for w in waiting], capacity):
                 at = 0
                 for i in members:
-                    doc, start, raw, total = waiting[i]
-                    rows.append((doc, start, raw, total, base + sequences, at))
-                    at += len(raw) // 4
+                    doc, start, part, total = waiting[i]
+                    rows.append((doc, start, part, total, base + sequences, at))
+                    at += part[0]
                 sequences += 1
             return rows
 
@@ -161,7 +167,7 @@ def pack(
             id_type = batch.schema.field(0).type
             rows: list[tuple] = []
             places = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()) if by_file else repeat(None)
-            for doc, text, place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), places):
+            for doc, text, place in zip(batch.column(0).to_pylist(), batch.column(1), places):
                 if place:
                     if place != after:
                         if waiting:
@@ -171,22 +177,22 @@ def pack(
                     elif sequences >> (RUN_BITS - 1):
                         raise ValueError(f"too many sequences in part {place[0]}")
                     after = (place[0], place[1] + 1)
-                raw = enc.encode(text) + end
+                raw = enc.encode(text.as_py()) + end
                 n = len(raw) // 4
                 full, rest = cut(n, capacity, piece)
                 at = 0
                 for _ in range(full):
-                    rows.append((doc, at, raw[4 * at : 4 * (at + capacity)], n, base + sequences, 0))
+                    rows.append((doc, at, piece_of(raw, at, capacity), n, base + sequences, 0))
                     sequences += 1
                     at += capacity
                 for m in rest:
-                    waiting.append((doc, at, raw[4 * at : 4 * (at + m)], n))
+                    waiting.append((doc, at, piece_of(raw, at, m), n))
                     held += m
                     at += m
                 if held >= limit:
                     rows += close()
                     waiting, held = [], 0
-                if len(rows) > 20_000:
+                if len(rows) > 5_000:
                     yield emit(rows)
                     rows = []
             if rows:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, tokenizer_file
+from .common import one_model, text_or_empty, tokenizer_file
 
 # The kinds and patterns of the result contract.
 KINDS = ("assign", "access", "hex", "random")
@@ -57,20 +57,17 @@ MAX_WORD_RATIO = 1.7
 #: From this length on words of one case vary less, and the limit is higher.
 LONG_WORD, MAX_LONG_WORD_RATIO = 20, 1.85
 
-_ENC: dict = {}
+def _load(path: str):
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def _encoding(path: str):
-    if path not in _ENC:
-        import public_tokenizers
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENC[path] = tiktoken.Encoding(
-            "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-        )
-    return _ENC[path]
+    return one_model(("ranks", path), lambda: _load(path))
 
 
 def is_random(run: str, enc, max_ratio: float = MAX_RATIO) -> bool:

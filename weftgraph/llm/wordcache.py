@@ -16,6 +16,8 @@ import struct
 
 import numpy as np
 
+from .common import one_model
+
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN = re.compile(rf"[^\t\n\r\x20-\x7e{LETTER}]")
 CUT = {
@@ -97,11 +99,6 @@ class WordCache:
         return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
 
-_LOADED: dict[str, WordCache] = {}
-
-
 def encoder(path: str) -> WordCache:
-    """One encoder per worker process and file."""
-    if path not in _LOADED:
-        _LOADED[path] = WordCache(path)
-    return _LOADED[path]
+    """The worker's encoder of a file."""
+    return one_model(("words", path), lambda: WordCache(path))
